@@ -34,13 +34,14 @@ class Words:
     """The words of consecutive texts.
 
     ``start``/``end`` are byte offsets inside the word's own text, ``hash`` its
-    64-bit hash, and words ``first[i]:first[i + 1]`` are those of text ``i``.
+    64-bit hash, ``head`` its first eight bytes as a number, and words
+    ``first[i]:first[i + 1]`` are those of text ``i``.
     """
 
-    __slots__ = ("end", "first", "hash", "start")
+    __slots__ = ("end", "first", "hash", "head", "start")
 
-    def __init__(self, start: np.ndarray, end: np.ndarray, hash_: np.ndarray, first: np.ndarray):
-        self.start, self.end, self.hash, self.first = start, end, hash_, first
+    def __init__(self, start: np.ndarray, end: np.ndarray, hash_: np.ndarray, first: np.ndarray, head: np.ndarray):
+        self.start, self.end, self.hash, self.first, self.head = start, end, hash_, first, head
 
     def doc_of(self) -> np.ndarray:
         """For each word, the index of its text."""
@@ -70,7 +71,7 @@ def split(texts: pa.Array) -> Words:
     n = len(off) - 1
     if len(raw) == 0:
         z = np.zeros(0, np.int64)
-        return Words(z, z, z.astype(np.uint64), np.zeros(n + 1, np.int64))
+        return Words(z, z, z.astype(np.uint64), np.zeros(n + 1, np.int64), z.astype(np.uint64))
     fold = _FOLD[raw]
     latin = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
     fold[latin] += 32
@@ -90,18 +91,20 @@ def split(texts: pa.Array) -> Words:
     padded = np.concatenate([fold, np.zeros(8, np.uint8)])
     view = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
     h = mix(size.astype(np.uint64) * _C1)
-    live, part = np.arange(len(start)), 0
+    live, part, head = np.arange(len(start)), 0, h
     while len(live):
         here = live if part else slice(None)
         left = np.minimum(size[here] - part, 8)
         chunk = view[start[here] + part] & _MASKS[left]
+        if part == 0:
+            head = chunk
         v = (h[here] ^ chunk) * _C1
         h[here] = v ^ (v >> np.uint64(29))
         part += 8
         live = live[size[live] > part]
     first = np.searchsorted(start, off)
     base = np.repeat(off[:-1], np.diff(first))
-    return Words(start - base, end - base, mix(h), first)
+    return Words(start - base, end - base, mix(h), first, head)
 
 
 def slices(texts: pa.Array):

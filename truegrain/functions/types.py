@@ -31,13 +31,20 @@ def _integer(text: Column) -> Column:
     return n.isNotNull() & (n == F.floor(n))
 
 
+def _json(text: Column) -> Column:
+    """The parser ignores what follows a value, so the text must also be a whole
+    item of an array and a whole value of an object."""
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    return (F.trim(text) != "") & item & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+
+
 def type_predicate(kind: str, text: Column) -> Column | None:
     """Whether a non-missing cell's canonical text is of a type; None for types
     that nothing contradicts."""
     tests = {
         "number": _number, "integer": _integer, "date": is_date, "email": lambda c: c.rlike(EMAIL), "phone": lambda c: c.rlike(PHONE),
         "url": lambda c: c.rlike(URL), "boolean": lambda c: F.lower(c).isin(*BOOLEANS), "uuid": lambda c: c.rlike(UUID),
-        "ip": lambda c: c.rlike(IPV4) | c.rlike(IPV6), "json": lambda c: F.try_parse_json(c).isNotNull(),
+        "ip": lambda c: c.rlike(IPV4) | c.rlike(IPV6), "json": _json,
     }
     return F.coalesce(tests[kind](text), F.lit(False)) if kind in tests else None
 

@@ -235,7 +235,11 @@ def personal_summary(cells: DataFrame) -> DataFrame:
 def personal_embedded(ds: Dataset, column: str, kinds: tuple[str, ...] = tuple(EMBEDDED)) -> DataFrame:
     """I1 inside longer text: one row per match."""
     text = ds.text(column)
-    found = [F.transform(F.regexp_extract_all(text, F.lit(EMBEDDED[k]), 0), lambda m, k=k: F.struct(F.lit(k).alias("piiType"), m.alias("value"))) for k in kinds]
+
+    def matches(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(EMBEDDED[kind]), 0), lambda m: F.struct(F.lit(kind).alias("piiType"), m.alias("value")))
+
+    found = [matches(k) for k in kinds]
     rows = ds.df.select(F.col(ROW).alias("rowNumber"), F.explode(F.concat(*found)).alias("f"))
     shown = F.col("f.value")
     masked = F.lit(None).cast("string")

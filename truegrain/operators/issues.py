@@ -179,23 +179,33 @@ def fuzzy_issues(ds: Dataset, columns: list[str] | None, similarity: float) -> D
     return _finish(pairs, "duplicates", F.col("r1"), F.col("r2"), F.col("r2"), F.lit(", ".join(names)), F.concat(F.lit("Similarity: "), shown), "fuzzy-duplicate", "info", F.concat(F.lit("Similar to row "), F.col("r1").cast("string"), F.lit(" ("), shown, F.lit(" match)")), "Review if these rows should be merged or deduplicated")
 
 
-def blocked_pairs(ds: Dataset, columns: list[str], similarity: float = 0.85, grams: int = 3) -> DataFrame:
-    """Similar pairs beyond the first 1000 rows: rows meet that share their
-    rarest ``grams``-grams (prefix filtering), so candidates come from equality
-    joins.
-
-    Equal signatures are one candidate.  Distances within the limit change at
-    most ``grams`` grams per edit, so two similar signatures share one of the
-    rarest ``d * grams + 1`` grams of either.
+def blocked_pairs(ds: Dataset, columns: list[str], similarity: float = 0.85, size: int = 3) -> DataFrame:
+    """J1 beyond the first 1000 rows: all similar pairs of different signatures
+    (each by its first row), from equality joins on rare parts.
+
+    An edit changes at most ``size`` of a signature's grams, so two signatures
+    ``d`` edits apart share one of the ``d * size + 1`` rarest grams of either, if
+    they have so many.  Signatures that haven't, and all that may be similar to
+    them, also meet on their ``d + 1`` rarest characters (a character's second
+    occurrence is another part than its first), of which an edit changes one.
     """
     sigs = ds.df.select(signature([ds.text(c) for c in columns]).alias("s"), F.col(ROW).alias("r")).groupBy("s").agg(F.min("r").alias("r"))
-    sigs = sigs.withColumn("n", F.length("s")).where("n >= 1")
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - grams + 1, F.lit(1))), lambda i: F.substring("s", i, F.lit(grams)))
-    parts = sigs.select("r", "s", "n", F.explode(F.array_distinct(cut)).alias("g"))
-    common = parts.groupBy("g").agg(F.count("*").alias("c"))
-    need = F.floor(F.col("n") / similarity * (1 - similarity) + 1e-9).cast("int") * grams + 1
-    rank = F.row_number().over(Window.partitionBy("r").orderBy("c", "g"))
-    kept = parts.join(common, "g").withColumn("k", rank).where(F.col("k") <= need)
+    sigs = sigs.withColumn("n", F.length("s")).where("n >= 1").withColumn("d", F.floor(F.col("n") / F.lit(similarity) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
+    pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - k + 1, F.lit(1))), lambda i: F.substring("s", i, F.lit(k)))
+    sigs = sigs.withColumn("grams", F.array_distinct(pieces(size)))
+    few = F.size("grams") <= F.col("d") * size
+    longest_few = sigs.where(few).agg(F.max("n")).first()[0]
+
+    def rarest(parts: DataFrame, need: Column) -> DataFrame:
+        counts = parts.groupBy("g").agg(F.count("*").alias("c"))
+        rank = F.row_number().over(Window.partitionBy("r").orderBy("c", "g"))
+        return parts.join(counts, "g").withColumn("k", rank).where(F.col("k") <= need).select("g", "r", "s", "n")
+
+    kept = rarest(sigs.where(~few).select("r", "s", "n", "d", F.explode("grams").alias("g")), F.col("d") * size + 1)
+    if longest_few is not None:
+        chars = sigs.where(F.col("n") <= longest_few / similarity + 1).select("r", "s", "n", "d", F.posexplode(pieces(1)).alias("at", "ch"))
+        again = F.row_number().over(Window.partitionBy("r", "ch").orderBy("at")).cast("string")
+        kept = kept.union(rarest(chars.select("r", "s", "n", "d", F.concat(F.lit("\u0001"), "ch", again).alias("g")), F.col("d") + 1))
     a, b = (kept.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("r", "s", "n")]) for i in (1, 2))
     longest = F.greatest("n1", "n2")
     allowed = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")

@@ -27,7 +27,9 @@ def correlations(ds: Dataset, columns: list[str]) -> DataFrame:
     for i, j in pairs:
         x, y = num[columns[i]], num[columns[j]]
         both = x.isNotNull() & y.isNotNull()
-        aggs += [F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}_{j}"), F.count(F.when(both, 1)).alias(f"n{i}_{j}")]
+        x, y = F.when(both, x), F.when(both, y)
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        aggs += [r.alias(f"r{i}_{j}"), F.count(x).alias(f"n{i}_{j}")]
     if not pairs:
         return ds.df.sparkSession.createDataFrame([], "column_a string, column_b string, n long, correlation double")
     one = ds.df.agg(*aggs)

@@ -36,7 +36,7 @@ class Dataset:
         return js_string(f"`{name}`", self.type_of(name))
 
     def drop(self, names: list[str]) -> Dataset:
-        """Without the named columns."""
+        """Without the named columns; names that aren't there don't matter."""
         gone = set(names)
         return Dataset(self.df.drop(*gone), [h for h in self.headers if h not in gone], dict(self.metadata))
 

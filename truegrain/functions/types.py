@@ -32,7 +32,7 @@ def _integer(text: Column) -> Column:
 
 
 def _json(text: Column) -> Column:
-    """The parser ignores what follows a value, so the text must also be a whole
+    """valid JSON.  The parser ignores what follows a value, so the text must also be a whole
     item of an array and a whole value of an object."""
     item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
     return (F.trim(text) != "") & item & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()

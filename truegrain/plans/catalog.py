@@ -11,7 +11,7 @@ from ..config import ColumnRule
 from ..dataset import ROW, Dataset
 from ..functions import cells, dates, numbers, personal, text
 from ..operators import frequency, issues, ordered, quality, remediation, statistics
-from ..sources import connectors
+from ..sources import connectors, readers
 from ..streaming import quality as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,3 +705,68 @@ def head_and_projection(spark, sf_dir):
     """P1, P2."""
     ds = parts(spark, sf_dir).drop(["p_name", "p_type", "p_size", "p_retailprice", "p_partkey"]).head(50)
     return ds.df.select(F.col(ROW).alias("row"), *ds.headers)
+
+
+# --- sources -----------------------------------------------------------------
+
+_NATION = ("n_nationkey", "n_name", "n_regionkey")
+
+
+def _nation(spark, sf_dir) -> list[dict]:
+    """The fixed table of 25 nations, as plain rows."""
+    return [r.asDict() for r in _t(spark, sf_dir, "nation").select(*_NATION).collect()]
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ', "x"' AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation""")
+def source_csv(spark, sf_dir):
+    """Quoted separators and quotes; all cells are text."""
+    lines = [f'{r["n_nationkey"]};"{r["n_name"]}, ""x""";{r["n_regionkey"]}' for r in _nation(spark, sf_dir)]
+    return readers.csv(spark, text="\n".join([";".join(_NATION), *lines, ""]))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""")
+def source_json(spark, sf_dir):
+    """An array under ``data``."""
+    import json
+
+    return readers.json_rows(spark, text=json.dumps({"data": _nation(spark, sf_dir)}))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation""")
+def source_jsonl(spark, sf_dir):
+    """JSON lines with some bad ones."""
+    import json
+
+    return readers.jsonl(spark, text="\n".join([*map(json.dumps, _nation(spark, sf_dir)), "", "not json"]))
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, CAST(n_nationkey + 1 AS BIGINT) AS row FROM nation""")
+def source_base64(spark, sf_dir):
+    """A whole read from base64 data."""
+    import base64
+
+    from ..config import RunConfig
+
+    text_ = "\n".join([",".join(_NATION), *(",".join(str(r[c]) for c in _NATION) for r in sorted(_nation(spark, sf_dir), key=lambda r: r["n_nationkey"]))])
+    ds = readers.read(spark, RunConfig(base64=base64.b64encode(text_.encode()).decode()))
+    return ds.df.select(*_NATION, F.col(ROW).alias("row"))
+
+
+@query("""SELECT 'p_name' AS "column", 'string' AS type UNION ALL SELECT 'p_size', 'integer' UNION ALL SELECT 'p_retailprice', 'float'""")
+def source_parquet_schema(spark, sf_dir):
+    """Logical types of projected columns."""
+    info = readers.schema_info(readers.parquet(spark, f"{sf_dir}/part.parquet", ["p_name", "p_size", "p_retailprice"]))
+    return spark.createDataFrame([(c, v["type"]) for c, v in info.items()], "`column` string, type string")
+
+
+@query("""SELECT * FROM (VALUES ('high', 'completeness', 'Address Missing Values'), ('medium', 'uniqueness', 'Review Duplicate Records'), ('medium', 'accuracy', 'Investigate Outliers'), ('low', 'schema', 'Consider Enum Constraints')) t(priority, category, title)""")
+def recommendations(spark, sf_dir):
+    """Advice about the events."""
+    base = events(spark, sf_dir)
+    ds = Dataset(base.df, ["event_type", "value"])
+    profile = sorted((r.asDict() for r in frequency.profiles(ds).collect()), key=lambda r: r["col_ord"])  # a row per column
+    counts = {"duplicates": issues.duplicate_issues(ds).count(), "outliers": issues.outlier_issues(ds, ["value"]).count()}
+    nulls = {c["column"]: c["null_count"] for c in profile}
+    score = quality.quality_score(profile[0]["total_count"], ds.headers, nulls, 0, 0, counts["duplicates"], {"value": counts["outliers"]}, {"value"}, True)
+    found = quality.recommendations(score, profile, counts, False)
+    return spark.createDataFrame([(r["priority"], r["category"], r["title"]) for r in found], "priority string, category string, title string")

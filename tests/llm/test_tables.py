@@ -230,6 +230,20 @@ def test_chat(spark):
     assert sorted((r["conv_id"] or 0, r["part"], r["n_messages"]) for r in pieces if r["conv_id"] == 1) == [(1, 0, 3), (1, 1, 3), (1, 2, 1)]
 
 
+def test_chat_as_sql(spark):
+    import duckdb
+
+    from truegrain.llm import queries
+
+    rows = [r for r in TALK if r[0] is not None and r[1] is not None] + [(5, i, "user", f"> message {i - 2}\n> > message {i - 4}\nmessage {i}\n\n\n\nend") for i in range(9)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(queries.OP7).fetchall()
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_long_threads(spark):
     rows = [(1, i, "user", f"> message {i - 2}\nmessage {i}" if i >= 2 else f"message {i}") for i in range(40)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

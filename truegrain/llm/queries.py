@@ -88,7 +88,31 @@ z AS (SELECT r, count(*) AS k, sum(CASE WHEN a IS NULL THEN s2 WHEN n3 >= 2 THEN
 SELECT doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_words, floor(coalesce(score, 0) * 1e6 + 0.5) / 1e6 AS score, floor(score / k * 1e6 + 0.5) / 1e6 AS mean_score FROM d LEFT JOIN z ON z.r = d.r"""
 
 
+OP7 = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS row, * FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+l0 AS (SELECT row, unnest(string_split_regex(coalesce(text, ''), '\r\n|\n|\r')) AS x, generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|\n|\r'), 1) AS i FROM m),
+l1 AS (
+ SELECT *, length(regexp_replace(replace(regexp_extract(x, '^[ \t]*(?:(?:>|&gt;)[ \t]?)+'), '&gt;', '>'), '[^>]', '', 'g')) AS v, regexp_replace(x, '^[ \t]*(?:(?:>|&gt;)[ \t]?)+', '') AS b FROM l0),
+l2 AS (
+ SELECT *, CASE WHEN v = 0 AND coalesce(lead(v) OVER (PARTITION BY row ORDER BY i), 0) > 0
+  AND regexp_matches(b, '(?i)^\s*(?:on|le|am|el)\s.*(?:wrote|writes|a écrit|schrieb|escribió)\s*:\s*$|^\s*-+\s*original message\s*-+\s*$') THEN -1 ELSE v END AS level FROM l1),
+l AS (SELECT *, lower(trim(regexp_replace(b, '[\s\pZ]+', ' ', 'g'))) AS t FROM l2),
+o AS (SELECT row, regexp_replace(regexp_replace(coalesce(string_agg(b, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS own FROM l GROUP BY row),
+u0 AS (SELECT row, own AS x FROM o UNION SELECT row, unnest(string_split(own, chr(10))) FROM o UNION SELECT row, unnest(string_split_regex(own, '\n\s*\n')) FROM o),
+u AS (SELECT DISTINCT row, lower(trim(regexp_replace(x, '[\s\pZ]+', ' ', 'g'))) AS t FROM u0),
+a AS (SELECT conv_id, u.t, min(turn) AS turn FROM u JOIN m USING (row) WHERE u.t <> '' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY 1, 2),
+g0 AS (SELECT *, coalesce(CAST(level <> lag(level) OVER (PARTITION BY row ORDER BY i) AS INT), 1) AS fresh FROM l),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY row ORDER BY i) AS run FROM g0),
+q AS (SELECT row, t FROM l WHERE level = 1 UNION SELECT row, trim(regexp_replace(string_agg(t, ' ' ORDER BY i), '\s+', ' ', 'g')) FROM g WHERE level = 1 GROUP BY row, run),
+f AS (SELECT q.row, a.turn AS p, sum(length(q.t)) AS n FROM q JOIN m USING (row) JOIN a ON a.conv_id = m.conv_id AND a.t = q.t WHERE q.t <> '' AND a.turn < m.turn GROUP BY 1, 2),
+k AS (SELECT row, arg_max(p, n * 1000000000::HUGEINT + p) AS parent_turn FROM f GROUP BY row),
+w AS (SELECT m.*, k.parent_turn FROM m LEFT JOIN k USING (row)),
+z AS (SELECT row, conv_id, turn, [turn] AS path FROM w WHERE parent_turn IS NULL UNION ALL SELECT w.row, w.conv_id, w.turn, list_append(z.path, w.turn) FROM w JOIN z ON z.conv_id = w.conv_id AND z.turn = w.parent_turn)
+SELECT w.conv_id, row_number() OVER (PARTITION BY w.conv_id ORDER BY z.path, w.turn, w.role, o.own, w.row) AS position, w.turn, w.role, o.own AS text, w.parent_turn, CAST(len(z.path) AS INTEGER) AS depth
+FROM w JOIN z USING (row) JOIN o USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators hash, draw, train or align and have no SQL form; their
     tests hold them against brute force."""
-    return {"op4_topk": OP4, "op10_lm_scores": OP10}
+    return {"op4_topk": OP4, "op7_chat": OP7, "op10_lm_scores": OP10}

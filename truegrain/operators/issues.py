@@ -19,6 +19,15 @@ from .frequency import frequency_frame, order_statistics
 
 ISSUE_COLUMNS = ("rowNumber", "column", "value", "issueType", "severity", "message", "suggestion")
 STAGES = {"types": 0, "constraints": 1, "duplicates": 2, "outliers": 3, "unique": 4}
+# Messages and advice by kind of issue.
+TEXTS = {
+    "missing": ("Required field '{}' is missing", "Provide a valid value for this field"),
+    "null": ("Field '{}' has null/empty value", "Provide a valid value for this field"),
+    "duplicate": ("Exact duplicate of row ", "Consider removing or merging duplicate rows"),
+    "fuzzy-duplicate": ("Similar to row ", "Review if these rows should be merged or deduplicated"),
+    "outlier": (" is a statistical outlier ({} method)", "Verify this value is correct or consider capping/removing it"),
+    "unique-violation": ("Duplicate value in unique column. First occurrence at row ", "Remove duplicate values or mark column as non-unique"),
+}
 # Advice by type.
 ADVICE = {
     "number": "Ensure the value contains only numeric characters",
@@ -72,8 +81,8 @@ def _cell_rules(ds: Dataset, rule: ColumnRule, check_missing: bool) -> tuple[lis
     types, limits = [], []
     if check_missing:
         kind, severity = ("missing", "error") if rule.required else ("null", "warning")
-        said = f"Required field '{name}' is missing" if rule.required else f"Field '{name}' has null/empty value"
-        types.append(_issue(missing, 0, name, F.when(c.isNull(), "null").otherwise(""), kind, severity, F.lit(said), "Provide a valid value for this field"))
+        said, advice = TEXTS[kind]
+        types.append(_issue(missing, 0, name, F.when(c.isNull(), "null").otherwise(""), kind, severity, F.lit(said.format(name)), advice))
     if rule.type == "string":
         fits = F.lit(dtype.typeName() in ("string", "varchar", "char"))
     else:
@@ -149,7 +158,7 @@ def duplicate_issues(ds: Dataset, columns: list[str] | None = None) -> DataFrame
     """Rows whose signature an earlier row has."""
     names = [c for c in (columns or ds.headers) if c in ds.headers]
     rows = with_first(ds, signature([ds.text(c) for c in names])).where(F.col(ROW) > F.col("_first"))
-    return _finish(rows, "duplicates", F.lit(0), F.col(ROW), F.col(ROW), F.lit(", ".join(names)), F.substring("_key", 1, 100), "duplicate", "warning", F.concat(F.lit("Exact duplicate of row "), F.col("_first").cast("string")), "Consider removing or merging duplicate rows")
+    return _finish(rows, "duplicates", F.lit(0), F.col(ROW), F.col(ROW), F.lit(", ".join(names)), F.substring("_key", 1, 100), "duplicate", "warning", F.concat(F.lit(TEXTS["duplicate"][0]), F.col("_first").cast("string")), TEXTS["duplicate"][1])
 
 
 def fuzzy_pairs(ds: Dataset, columns: list[str], similarity: float = 0.85, rows: int = 1000, most: int = 10_000) -> DataFrame:
@@ -176,7 +185,7 @@ def fuzzy_issues(ds: Dataset, columns: list[str] | None, similarity: float) -> D
     names = [c for c in (columns or ds.headers) if c in ds.headers]
     pairs = fuzzy_pairs(ds, names, similarity)
     shown = F.concat(F.format_number(rounded(F.col("similarity") * 100, 1), "0.0"), F.lit("%"))
-    return _finish(pairs, "duplicates", F.col("r1"), F.col("r2"), F.col("r2"), F.lit(", ".join(names)), F.concat(F.lit("Similarity: "), shown), "fuzzy-duplicate", "info", F.concat(F.lit("Similar to row "), F.col("r1").cast("string"), F.lit(" ("), shown, F.lit(" match)")), "Review if these rows should be merged or deduplicated")
+    return _finish(pairs, "duplicates", F.col("r1"), F.col("r2"), F.col("r2"), F.lit(", ".join(names)), F.concat(F.lit("Similarity: "), shown), "fuzzy-duplicate", "info", F.concat(F.lit(TEXTS["fuzzy-duplicate"][0]), F.col("r1").cast("string"), F.lit(" ("), shown, F.lit(" match)")), TEXTS["fuzzy-duplicate"][1])
 
 
 def blocked_pairs(ds: Dataset, columns: list[str], similarity: float = 0.85, size: int = 3) -> DataFrame:
@@ -240,7 +249,7 @@ def outlier_issues(ds: Dataset, columns: list[str], method: str = "iqr", thresho
     cells = long_frame(ds, columns).where("num is not null").join(F.broadcast(outlier_bounds(ds, columns, method, threshold)), ["col_ord", "column"])
     out = cells.where((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")))
     shown = js_string("num", ds.df.select(F.lit(0.0)).schema[0].dataType)
-    return _finish(out, "outliers", F.col("col_ord"), F.col("row"), F.col("row"), F.col("column"), shown, "outlier", "warning", F.concat(F.lit("Value "), shown, F.lit(f" is a statistical outlier ({method.upper()} method)")), "Verify this value is correct or consider capping/removing it")
+    return _finish(out, "outliers", F.col("col_ord"), F.col("row"), F.col("row"), F.col("column"), shown, "outlier", "warning", F.concat(F.lit("Value "), shown, F.lit(TEXTS["outlier"][0].format(method.upper()))), TEXTS["outlier"][1])
 
 
 def unique_issues(ds: Dataset, columns: list[str]) -> DataFrame:
@@ -249,7 +258,7 @@ def unique_issues(ds: Dataset, columns: list[str]) -> DataFrame:
     for i, c in enumerate(x for x in columns if x in ds.headers):
         some = Dataset(ds.df.where(~is_missing(f"`{c}`", ds.type_of(c))), ds.headers)
         rows = with_first(some, ds.text(c)).where(F.col(ROW) > F.col("_first"))
-        one = _finish(rows, "unique", F.lit(i), F.col(ROW), F.col(ROW), F.lit(c), F.substring("_key", 1, 50), "unique-violation", "error", F.concat(F.lit("Duplicate value in unique column. First occurrence at row "), F.col("_first").cast("string")), "Remove duplicate values or mark column as non-unique")
+        one = _finish(rows, "unique", F.lit(i), F.col(ROW), F.col(ROW), F.lit(c), F.substring("_key", 1, 50), "unique-violation", "error", F.concat(F.lit(TEXTS["unique-violation"][0]), F.col("_first").cast("string")), TEXTS["unique-violation"][1])
         out = one if out is None else out.unionByName(one)
     return out if out is not None else empty_issues(ds)
 

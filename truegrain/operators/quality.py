@@ -47,34 +47,58 @@ def quality_score(rows: int, columns: list[str], null_counts: dict[str, int], ty
     }
 
 
+# Priority, category, title, description, action and impact of each piece of advice.
+ADVICE = {
+    "missing": (
+        "high", "completeness", "Address Missing Values", "{n} column(s) have >10% missing values: {names}",
+        "Consider implementing data collection improvements or use imputation strategies (mean, median, mode)", "Could improve completeness score from {score}% to ~95%",
+    ),
+    "types": (
+        "high", "validity", "Fix Type Mismatches", "Found {n} type validation errors", "Clean or transform values to match expected column types",
+        "Could improve validity score by eliminating {rate:.1f}% of issues",
+    ),
+    "duplicates": (
+        "medium", "uniqueness", "Review Duplicate Records", "Detected {n} duplicate or near-duplicate rows", "Investigate duplicates - merge, remove, or mark as intentional",
+        "Removing duplicates could reduce dataset size and improve data quality",
+    ),
+    "outliers": (
+        "medium", "accuracy", "Investigate Outliers", "Found {n} statistical outliers", "Review outliers - they may be errors, edge cases, or valid extreme values",
+        "Addressing outliers improves statistical analysis reliability",
+    ),
+    "enum": (
+        "low", "schema", "Consider Enum Constraints", "Columns with low cardinality detected: {names}", "Add allowedValues constraints to enforce valid values",
+        "Prevents invalid categorical data from entering the dataset",
+    ),
+    "pii": (
+        "high", "compliance", "Review PII Handling", "PII detection was enabled - check findings for sensitive data", "Mask, encrypt, or remove PII as required by GDPR/CCPA",
+        "Ensures regulatory compliance and reduces data breach risk",
+    ),
+    "sampling": (
+        "low", "performance", "Enable Sampling for Large Datasets", "Dataset has {n:,} rows", "Use sampleSize option for faster validation on subsequent runs",
+        "Reduces processing time while maintaining statistical validity",
+    ),
+}
+PRIORITIES = ("high", "medium", "low")
+
+
 def recommendations(score: dict, profile: list[dict], counts: dict[str, int], pii: bool) -> list[dict]:
     """Advice by priority, then description.  ``profile``: rows of
     ``profiles``; ``counts``: typeErrors, duplicates, outliers."""
+    empty = [f"{c['column']} ({c['null_percent']:.2f}% null)" for c in profile if c["null_percent"] > 10]
+    few = [c["column"] for c in profile if 1 < c["unique_count"] <= 20 and c["unique_count"] < 0.05 * c["total_count"]]
+    rows = max((c["total_count"] for c in profile), default=0)
+    types = counts.get("typeErrors", 0)
+    wanted = {
+        "missing": score["completeness"] < 90 and empty and {"n": len(empty), "names": ", ".join(empty[:3]) + "..." * (len(empty) > 3), "score": score["completeness"]},
+        "types": types and {"n": types, "rate": half_up(types / max(1, len(profile)) * 100, 1)},
+        **{kind: counts.get(kind) and {"n": counts[kind]} for kind in ("duplicates", "outliers")},
+        "enum": few and {"names": ", ".join(few[:3])}, "pii": pii and {"n": 0}, "sampling": rows > 100_000 and {"n": rows},
+    }
     out = []
-
-    def add(priority: str, category: str, title: str, description: str, action: str, impact: str) -> None:
-        out.append({"priority": priority, "category": category, "title": title, "description": description, "action": action, "impact": impact})
-
-    if score["completeness"] < 90:
-        empty = [f"{c['column']} ({c['null_percent']:.2f}% null)" for c in profile if c["null_percent"] > 10]
-        if empty:
-            add("high", "completeness", "Address Missing Values", f"{len(empty)} column(s) have >10% missing values: {', '.join(empty[:3])}{'...' if len(empty) > 3 else ''}", "Consider implementing data collection improvements or use imputation strategies (mean, median, mode)", f"Could improve completeness score from {score['completeness']}% to ~95%")
-    if n := counts.get("typeErrors", 0):
-        add("high", "validity", "Fix Type Mismatches", f"Found {n} type validation errors", "Clean or transform values to match expected column types", f"Could improve validity score by eliminating {half_up(n / max(1, len(profile)) * 100, 1):.1f}% of issues")
-    if n := counts.get("duplicates", 0):
-        add("medium", "uniqueness", "Review Duplicate Records", f"Detected {n} duplicate or near-duplicate rows", "Investigate duplicates - merge, remove, or mark as intentional", "Removing duplicates could reduce dataset size and improve data quality")
-    if n := counts.get("outliers", 0):
-        add("medium", "accuracy", "Investigate Outliers", f"Found {n} statistical outliers", "Review outliers - they may be errors, edge cases, or valid extreme values", "Addressing outliers improves statistical analysis reliability")
-    few = [c["column"] for c in profile if c["total_count"] and c["unique_count"] / c["total_count"] < 0.05 and 1 < c["unique_count"] <= 20]
-    if few:
-        add("low", "schema", "Consider Enum Constraints", f"Columns with low cardinality detected: {', '.join(few[:3])}", "Add allowedValues constraints to enforce valid values", "Prevents invalid categorical data from entering the dataset")
-    if pii:
-        add("high", "compliance", "Review PII Handling", "PII detection was enabled - check findings for sensitive data", "Mask, encrypt, or remove PII as required by GDPR/CCPA", "Ensures regulatory compliance and reduces data breach risk")
-    rows = profile[0]["total_count"] if profile else 0
-    if rows > 100_000:
-        add("low", "performance", "Enable Sampling for Large Datasets", f"Dataset has {rows:,} rows", "Use sampleSize option for faster validation on subsequent runs", "Reduces processing time while maintaining statistical validity")
-    order = {"high": 0, "medium": 1, "low": 2}
-    return sorted(out, key=lambda r: (order[r["priority"]], r["description"].lower(), r["description"]))
+    for kind, values in wanted.items():
+        if values:
+            out.append(dict(zip(("priority", "category", "title", "description", "action", "impact"), (t.format(**values) for t in ADVICE[kind]))))
+    return sorted(out, key=lambda r: (PRIORITIES.index(r["priority"]), r["description"].lower(), r["description"]))
 
 
 # --- history ----------------------------------------------------------------

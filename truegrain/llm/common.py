@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text that Spark hands to Python at once; a batch has one row at least.
+BATCH_BYTES = 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -22,6 +25,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_BYTES`` or less, so
+    that long texts don't add up in the memory of executors and workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(key) or ""
+    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import saved
+from .common import saved, small_batches
 
 ORDER = 3
 ALPHA = 0.4
@@ -177,11 +177,16 @@ def _sum(order: int, bits: int, total: int, alpha: float, min_count: int):
                 raise ValueError("counts without their block")
             ids, texts = _open(rows[0][2])
             first, hashes = _block_ngrams(texts, order, bits)
-            values = np.unique(np.concatenate(hashes))
+            every = np.concatenate(hashes)
+            order_of = np.argsort(every)
+            every = every[order_of]
+            place = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
             counts = np.concatenate([unpack(r[2]) for r in rows[1:]]) if len(rows) > 1 else np.zeros(0, np.uint64)
-            if len(counts) != len(values):
+            if len(counts) != (place[-1] + 1 if len(place) else 0):
                 raise ValueError("counts don't match their block")
-            c = [counts[np.searchsorted(values, h)].astype(np.float64) for h in hashes]
+            found = np.empty(len(every))
+            found[order_of] = counts[place]
+            c = np.split(found, order)
             for n in range(1, order):
                 c[n][c[n] < min_count] = 0
             place = np.arange(len(c[0])) - np.repeat(first[:-1], np.diff(first))
@@ -211,7 +216,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     a null mean; a null doc_id is carried through; repeated rows count and score
     as often as they occur; an empty table gives no rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = source.mapInArrow(_blocks, "n_words long, blob binary").select(F.monotonically_increasing_id().alias("block"), "n_words", "blob")
     blocks = saved(blocks, "blocks")
     total, n_blocks = (x or 0 for x in blocks.agg(F.sum("n_words"), F.count("*")).first())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ColumnRule
 from ..dataset import ROW, Dataset
@@ -43,19 +44,37 @@ ADVICE = {
 }
 
 
+def possible_types(dtype: T.DataType) -> tuple[str, ...] | None:
+    """The types that cells of a physical type can be inferred to be; None: any."""
+    if is_numeric_type(dtype):
+        return ("boolean", "integer", "number")
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return ("date",)
+    return ("boolean",) if isinstance(dtype, T.BooleanType) else None
+
+
+def surely(kind: str, dtype: T.DataType) -> bool:
+    """Whether every cell of a physical type is of a logical type."""
+    return (
+        (isinstance(dtype, (T.IntegralType, T.DecimalType)) and kind == "number") or (isinstance(dtype, T.IntegralType) and kind == "integer")
+        or (kind == "date" and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))) or (kind == "boolean" and isinstance(dtype, T.BooleanType))
+    )
+
+
 def infer_types(ds: Dataset, columns: list[str] | None = None, sample: int = 100) -> dict[str, str]:
     """V2, V3: the first type whose test 90 % of the values in the first
     ``sample`` rows pass; string for columns without values."""
     names = columns or ds.headers
     if not names:
         return {}
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(names):
         text = ds.text(c)
         here = ~is_missing(f"`{c}`", ds.type_of(c))
-        aggs += [F.avg(F.when(here, F.coalesce(test(text), F.lit(False)).cast("int"))).alias(f"{i}_{k}") for k, test in INFERENCE]
-    found = ds.df.where(F.col(ROW) <= sample).agg(*aggs).first()
-    return {c: next((k for k, _ in INFERENCE if (found[f"{i}_{k}"] or 0) >= 0.9), "string") for i, c in enumerate(names)}
+        able = possible_types(ds.type_of(c))
+        aggs += [F.avg(F.when(here, F.coalesce(test(text), F.lit(False)).cast("int"))).alias(f"{i}_{k}") for k, test in INFERENCE if able is None or k in able]
+    found = ds.df.where(F.col(ROW) <= sample).agg(*aggs).first().asDict()
+    return {c: next((k for k, _ in INFERENCE if (found.get(f"{i}_{k}") or 0) >= 0.9), "string") for i, c in enumerate(names)}
 
 
 def resolve(ds: Dataset, rules: list[ColumnRule], detect: bool = True) -> list[ColumnRule]:
@@ -85,8 +104,10 @@ def _cell_rules(ds: Dataset, rule: ColumnRule, check_missing: bool) -> tuple[lis
         types.append(_issue(missing, 0, name, F.when(c.isNull(), "null").otherwise(""), kind, severity, F.lit(said.format(name)), advice))
     if rule.type == "string":
         fits = F.lit(dtype.typeName() in ("string", "varchar", "char"))
+    elif rule.type == "number" and isinstance(dtype, (T.DoubleType, T.FloatType)):
+        fits = ~F.isnan(c) & (F.abs(c) < float("inf"))
     else:
-        fits = type_predicate(rule.type, text)
+        fits = None if surely(rule.type, dtype) else type_predicate(rule.type, text)
     if fits is not None:
         types.append(_issue(~missing & ~fits, 1, name, shown, "type-mismatch", "error", F.concat(F.lit("Value '"), F.substring(text, 1, 50), F.lit(f"' is not a valid {rule.type}")), ADVICE.get(rule.type, "Check the value format")))
     num, size, here = parse_float(c, dtype), F.length(text), ~missing

@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Pages of one range, about.
 RANGE = 2000
 #: Two pages of whose text at least this share is common are copies.
@@ -366,7 +368,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows.
     """
     spark = pages.sparkSession
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    source = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keys = source.select("page_id", "url").mapInArrow(_keys, "page_id long, host string, path string")
     n = source.select("page_id").count()
     ranges = min(10_000, max(1 + n // RANGE, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, small_batches
 
 DISTANCE = 2
 #: Fingerprints of one key up to which they are compared pairwise.
@@ -56,7 +56,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` (long) and ``fp`` (the fingerprint as a signed long) per row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

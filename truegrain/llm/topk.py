@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 K = 5
 EVERY = 50
@@ -185,7 +185,7 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     row is left out); scores beyond 64 bits saturate; other columns are ignored;
     an empty table gives no rows.
     """
-    source = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    source = small_batches(embeddings).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = source.mapInArrow(_valid, "vec_id long, ints binary").withColumn("row", F.monotonically_increasing_id())
     rows = saved(rows, "vectors").select("vec_id", "row", "ints")
     asks = rows.where(F.col("vec_id") % every == 0)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import saved
+from .common import saved, small_batches
 
 #: Label columns in chain order; the last one decides.
 CATEGORIES = ("quality", "toxic")
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).na.drop()
     marks = marks.groupBy("doc_id").agg(*[F.max((F.col(f"y{i}") > 0).cast("int")).alias(f"y{i}") for i in range(len(categories))])
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample's bound is a parameter, so it can be sent to every executor
     chosen = saved(texts.join(F.broadcast(saved(marks, "labels")), "doc_id"), "sample").select("text", *[f"y{i}" for i in range(len(categories))], "doc_id")
     n = chosen.count()
@@ -214,7 +214,7 @@ def classify(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> Dat
                     [ids.slice(i, j - i), pa.array(n_words, pa.int64()), *[pa.array(x) for x in p], pa.array((p[-1] >= threshold) & (n_words > 0))], names=names
                 )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, ", ".join(["doc_id long", "n_words long", *[f"p_{c} double" for c in model.categories], "rejected boolean"]))
 
 

@@ -39,8 +39,8 @@ from .common import saved, small_batches
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_BYTES = 6 << 20
-RANGE = 3_000_000
+BLOCK_BYTES = 5 << 20
+RANGE = 2_000_000
 SCHEMA = "doc_id long, n_words long, score double, mean_score double"
 
 
@@ -82,7 +82,7 @@ def _blocks(batches):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+        blob = zstandard.ZstdCompressor(level=9).compress(sink.getvalue().to_pybytes())
         return pa.RecordBatch.from_pydict({"n_words": pa.array([words], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     for batch in batches:
@@ -178,14 +178,17 @@ def _sum(order: int, bits: int, total: int, alpha: float, min_count: int):
             ids, texts = _open(rows[0][2])
             first, hashes = _block_ngrams(texts, order, bits)
             every = np.concatenate(hashes)
-            order_of = np.argsort(every)
+            del hashes, texts
+            order_of = np.argsort(every).astype(np.uint32 if len(every) < 2**32 else np.int64)
             every = every[order_of]
-            place = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+            place = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]]), dtype=np.uint32) if len(every) else np.zeros(0, np.uint32)
             counts = np.concatenate([unpack(r[2]) for r in rows[1:]]) if len(rows) > 1 else np.zeros(0, np.uint64)
-            if len(counts) != (place[-1] + 1 if len(place) else 0):
+            if len(counts) != (int(place[-1]) + 1 if len(place) else 0):
                 raise ValueError("counts don't match their block")
             found = np.empty(len(every))
+            del every
             found[order_of] = counts[place]
+            del order_of, place, counts
             c = np.split(found, order)
             for n in range(1, order):
                 c[n][c[n] < min_count] = 0

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import small_batches
 
 COVERAGE = 0.8
 SEED = 3
@@ -174,7 +175,8 @@ def find(text: list, template: list, must: set, hits: list[int], coverage: float
         while low < high:
             end = min(high, low + 3 * n) if high - low > 4 * n else high
             best = None
-            for begin in sorted({max(low, h - k) for h in group if low <= h < end for k in (0, n // 2)} | {low})[:64]:
+            steps = set(range(low, end, max(1, n // 2)))  # one of them begins at most half a template before any copy
+            for begin in sorted(steps | {max(low, h - k) for h in group if low <= h < end for k in (0, n // 2)}):
                 pairs = patience(text[begin : min(end, begin + 2 * n)], template)
                 if len(pairs) >= coverage * n and must <= {template[j] for _, j in pairs}:
                     share, s, e = len(pairs) / n, begin + pairs[0][0], begin + pairs[-1][0] + 1
@@ -245,5 +247,5 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str, str, str], ...] = TEM
     rows give repeated results; other columns are ignored; an empty table gives
     no rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(_scan(Templates(templates), coverage), SCHEMA)

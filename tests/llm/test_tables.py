@@ -123,6 +123,18 @@ def test_differencing(spark, ranges):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_runs_of_copies(spark):
+    page = lambda i, n: (n, f"https://a.example/page{i}", f"<p>Site name</p><p>own words of page {i} that no other has</p><p>Contact us</p>")
+    df = spark.createDataFrame([page(1, 1), *[page(2, n) for n in range(2, 7)], page(3, 7)], "page_id long, url string, html string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extract.extract(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {n: (f"own words of page {1 if n == 1 else 3 if n == 7 else 2} that no other has", 2) for n in range(1, 8)}
+
+
 def test_pages(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     rows = html_extract.extract(df).collect()

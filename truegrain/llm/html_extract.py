@@ -345,15 +345,24 @@ def _difference(batches):
                 yield _Page(row, unpack)
         yield None
 
-    out, before, page = [], None, None
+    def near(page: _Page, other: _Page | None) -> bool:
+        return other is not None and other.range == page.range and other.host == page.host
+
+    # copies next to each other share the page before them and the page after
+    out, before, copies = [], None, []
     for after in pages():
-        if page is not None and not page.guest:
-            text, n, shared = main_text(page, [p for p in (before, after) if p is not None and p.range == page.range])
+        if copies and near(copies[-1], after) and shared_lines(after.lines, copies[-1].lines) is None:
+            copies.append(after)
+            continue
+        for page in copies:
+            if page.guest:
+                continue
+            text, n, shared = main_text(page, [p for p in (before, after) if near(page, p)])
             out.append((page.page_id, page.url, text, len(text), n, shared))
             if len(out) >= 256:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
                 out = []
-        before, page = page, after
+        before, copies = copies[-1] if copies else None, [after]
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
 

@@ -114,5 +114,6 @@ FROM w JOIN z USING (row) JOIN o USING (row)"""
 
 def oracle_sql() -> dict[str, str]:
     """The other operators hash, draw, train or align and have no SQL form; their
-    tests hold them against brute force."""
+    tests hold them against brute force, op9 against random plantings by length
+    and edits and its steps against brute force."""
     return {"op4_topk": OP4, "op7_chat": OP7, "op10_lm_scores": OP10}

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from truegrain.llm import decontaminate, license_scan, lm_score, substring_dedup, textvec
+from truegrain.llm import decontaminate, license_scan, lm_score, packing, substring_dedup, textvec
 
 WORD = re.compile("[0-9a-zA-Z\x80-\U0010ffff]+")
 
@@ -207,7 +207,7 @@ def test_scores(spark, sf, monkeypatch, order, block):
 def test_packing():
     for v in ([], [0], [1, 300, 2**40, 2**64 - 1]):
         a = np.array(v, np.uint64)
-        assert lm_score.unpack(lm_score.pack(a)).tolist() == v
+        assert packing.unpack(packing.pack(a)).tolist() == v
 
 
 def test_patience():

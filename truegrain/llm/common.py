@@ -35,6 +35,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

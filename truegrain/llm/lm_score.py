@@ -25,7 +25,6 @@ Hashes have 24 bits more than it takes to number all n-grams, 64 at most.
 from __future__ import annotations
 
 import math
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .common import saved, small_batches
+from .packing import pack, unpack
 
 ORDER = 3
 ALPHA = 0.4
@@ -44,22 +44,6 @@ RANGE = 2_000_000
 SCHEMA = "doc_id long, n_words long, score double, mean_score double"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as compressed planes of bytes."""
-    values = np.ascontiguousarray(values, dtype="<u8")
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return struct.pack("<IB", len(values), width) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    n, width = struct.unpack_from("<IB", blob)
-    raw = zstandard.ZstdDecompressor().decompress(blob[5:], max_output_size=max(1, n * width))
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 def ngrams(words: textvec.Words, order: int, bits: int) -> list[np.ndarray]:
     """For each n up to ``order`` the hash, of ``bits`` bits, of the n-gram that
     ends at each word; where the text has fewer words, of the whole beginning."""

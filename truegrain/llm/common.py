@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Text that Spark hands to Python at once; a batch has one row at least.
 BATCH_BYTES = 8 << 20
 
+#: Spark deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -47,14 +50,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage, and survives lost executors because every executor
-    reads the files from the shared folder.
+    reads the files from the shared folder.  Nothing reads the shuffles of the
+    write again, so their files go when it ends.
     """
     spark = df.sparkSession
     if not _written:
         atexit.register(clean)
     path = f"{scratch_dir(spark)}/truegrain/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.parquet(path)
+    held = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held) if held is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,9 +6,10 @@ later model also reads the earlier categories' probabilities.  In training these
 are out-of-fold predictions, made by models that haven't seen the document, so
 that later models meet probabilities of the kind they get in use.
 
-Only the fit is bounded: at most ``SAMPLE`` labelled documents (those whose ids
-hash smallest) and ``VOCABULARY`` features for each category.  Every document is
-scored, whole, in one scan without a shuffle.
+Only the fit is bounded: at most ``SAMPLE`` labelled documents, those whose ids
+hash smallest.  The vocabulary is every feature of theirs that occurs with some
+category more or less often than chance explains (``SIGMAS``); there is no limit
+to how many.  Every document is scored, whole, in one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from .common import saved, small_batches
 #: Label columns in chain order; the last one decides.
 CATEGORIES = ("quality", "toxic")
 SAMPLE = 8000
-VOCABULARY = 400
+#: Standard deviations from a category's overall rate at which a feature counts.
+SIGMAS = 3.0
 FOLDS = 5
 THRESHOLD = 0.5
 #: Bytes of the word beginnings that are features too.
@@ -48,8 +50,8 @@ def features(words: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Chain:
-    """Linear models over one sorted vocabulary; ``links[c]`` weighs the log-odds
-    of the categories before ``c``."""
+    """Linear models over one sorted vocabulary; ``links[c]`` weighs the
+    probabilities of the categories before ``c``."""
 
     categories: tuple[str, ...]
     vocabulary: np.ndarray
@@ -73,13 +75,16 @@ class Chain:
 
     def predict(self, doc: np.ndarray, at: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         """Probabilities, a row per category."""
-        odds = np.zeros((len(self.categories), len(n_words)))
+        p = np.zeros((len(self.categories), len(n_words)))
         share = 100.0 / np.maximum(n_words, 1)
         for c in range(len(self.categories)):
-            odds[c] = self.bias[c] + share * np.bincount(doc, weights=self.weights[c][at], minlength=len(n_words))
-            for before, w in enumerate(self.links[c]):
-                odds[c] += w * np.clip(odds[before], -10, 10)
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+            odds = self.bias[c] + share * np.bincount(doc, weights=self.weights[c][at], minlength=len(n_words))
+            p[c] = probability(odds + self.links[c] @ p[:c])
+        return p
+
+
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
 def fit(doc: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, width: int, extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -95,7 +100,7 @@ def fit(doc: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, width: int,
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         odds = np.bincount(doc, weights=value * theta[at], minlength=n) + theta[width] + (theta[width + 1 :] @ extra if len(extra) else 0.0)
-        error = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - y) / n
+        error = (probability(odds) - y) / n
         grad = np.concatenate([np.bincount(at, weights=value * error[doc], minlength=width), [error.sum()], extra @ error if len(extra) else []])
         grad[:width] += RIDGE / max(1, width) ** 0.5 * theta[:width]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -103,6 +108,35 @@ def fit(doc: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, width: int,
     return theta[:width], float(theta[width]), theta[width + 1 :]
 
 
+def fit_chain(doc: np.ndarray, at: np.ndarray, value: np.ndarray, width: int, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Models of the categories (rows of ``y``) in order: weights, biases, link
+    weights, and the out-of-fold probabilities that later models were trained on.
+
+    A document's probability for a category comes from a model trained on the
+    other folds, which read the other documents' out-of-fold probabilities for
+    the categories before.
+    """
+    n = y.shape[1]
+    known = np.zeros((0, n))
+    weights, bias, links = [], [], []
+    for c in range(len(y)):
+        w, b, more = fit(doc, at, value, n, width, known, y[c])
+        weights.append(w)
+        bias.append(b)
+        links.append(more)
+        if c + 1 < len(y):
+            held = np.zeros(n)
+            for k in np.unique(fold):
+                inside, outside = np.flatnonzero(fold != k), fold == k
+                place = np.full(n, -1)
+                place[inside] = np.arange(len(inside))
+                use = place[doc] >= 0
+                w, b, more = fit(place[doc[use]], at[use], value[use], len(inside), width, known[:, inside], y[c][inside])
+                held[outside] = probability(np.bincount(doc, weights=value * w[at], minlength=n) + b + more @ known)[outside]
+            known = np.vstack([known, held])
+    return np.array(weights), np.array(bias), links, known
+
+
 def _document_features(categories: int):
     """Documents with and without each label, for each feature."""
     names = ["feature", "docs", *[f"pos{c}" for c in range(categories)]]
@@ -130,14 +164,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     """Fit a chain on at most ``sample`` labelled documents.
 
     Labels with a null id or a null category are left out; of repeated labels a
-    category is 1 if any row says so; without labels every probability is 0.
+    category is 1 if any row says so; of several texts of one doc_id the one that
+    sorts first is taken; without labels every probability is 0.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).na.drop()
     marks = marks.groupBy("doc_id").agg(*[F.max((F.col(f"y{i}") > 0).cast("int")).alias(f"y{i}") for i in range(len(categories))])
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample's bound is a parameter, so it can be sent to every executor
-    chosen = saved(texts.join(F.broadcast(saved(marks, "labels")), "doc_id"), "sample").select("text", *[f"y{i}" for i in range(len(categories))], "doc_id")
+    marked = [f"y{i}" for i in range(len(categories))]
+    found = texts.join(F.broadcast(saved(marks, "labels")), "doc_id").groupBy("doc_id", *marked).agg(F.min("text").alias("text"))
+    chosen = saved(found, "sample").select("text", *marked, "doc_id")
     n = chosen.count()
     none = np.zeros(0, np.uint64)
     if not n:
@@ -145,14 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     schema = ", ".join(["feature long", "docs long", *[f"pos{c} long" for c in range(len(categories))]])
     total = chosen.agg(*[F.sum(f"y{i}") for i in range(len(categories))]).first()
     counts = chosen.select("text", *[f"y{i}" for i in range(len(categories))]).mapInArrow(_document_features(len(categories)), schema)
-    counts = counts.groupBy("feature").agg(F.sum("docs").alias("docs"), *[F.sum(f"pos{c}").alias(f"pos{c}") for c in range(len(categories))]).where("docs > 1")
-    counts = saved(counts, "features")
-    vocabulary = set()
+    counts = counts.groupBy("feature").agg(F.sum("docs").alias("docs"), *[F.sum(f"pos{c}").alias(f"pos{c}") for c in range(len(categories))])
+    tells = F.lit(False)
     for c in range(len(categories)):
         share = total[c] / n
-        lift = (F.col(f"pos{c}") - share * F.col("docs")) / F.sqrt("docs")  # of the chi-square statistic
-        vocabulary |= {r[0] for r in counts.orderBy(F.abs(lift).desc(), "feature").limit(VOCABULARY).select("feature").collect()}
-    words = np.sort(np.array(sorted(vocabulary), np.int64).view(np.uint64))
+        tells |= F.abs(F.col(f"pos{c}") - share * F.col("docs")) >= F.lit(SIGMAS * (share * (1 - share)) ** 0.5) * F.sqrt("docs")
+    kept = counts.where(tells & (F.col("docs") > 1)).select("feature").collect()  # no more than the sample's words
+    words = np.sort(np.array([r[0] for r in kept], np.int64).view(np.uint64))
     lookup = Chain(tuple(categories), words, np.zeros((len(categories), len(words))), np.zeros(len(categories)), [])
 
     def sparse(batches):
@@ -173,25 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     y = np.array([r[1 : 1 + len(categories)] for r in rows], np.float64).T
     fold = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     fold = (textvec.mix(fold) % np.uint64(FOLDS)).astype(int)
-    known = np.zeros((0, n))
-    weights, bias, links = [], [], []
-    for c in range(len(categories)):
-        w, b, more = fit(doc, at, value, n, len(words), known, y[c])
-        weights.append(w)
-        bias.append(b)
-        links.append(more)
-        if c + 1 < len(categories):
-            held = np.zeros(n)
-            for k in range(FOLDS):
-                inside, outside = np.flatnonzero(fold != k), fold == k
-                place = np.full(n, -1)
-                place[inside] = np.arange(len(inside))
-                use = place[doc] >= 0
-                w, b, more = fit(place[doc[use]], at[use], value[use], len(inside), len(words), known[:, inside], y[c][inside])
-                odds = np.bincount(doc, weights=value * w[at], minlength=n) + b + (more @ known if len(known) else 0.0)
-                held[outside] = odds[outside]
-            known = np.vstack([known, np.clip(held, -10, 10)])
-    return Chain(tuple(categories), words, np.array(weights), np.array(bias), links)
+    weights, bias, links, _ = fit_chain(doc, at, value, len(words), y, fold)
+    return Chain(tuple(categories), words, weights, bias, links)
 
 
 def classify(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFrame:

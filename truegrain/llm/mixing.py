@@ -11,8 +11,9 @@ document, which is to the nearest.
 Documents meet in groups of about ``GROUP`` (hashed within their source), the
 largest first and each with all smaller ones as one, so that a small one is left
 over; the documents left over by ``GROUP`` neighbouring groups meet in the next
-level of a tree, until each source has one.  No task sees more than a group, however large a source is.
-Random numbers are hashes of ids, so reruns agree.
+level of a tree, until each source has one.  No task sees more than a group,
+however large a source is.  Directions are drawn alike in groups and sources of
+every size.  Random numbers are hashes of ids, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, unused
 
 GROUP = 256
 SHARE = 1.5
@@ -77,12 +78,10 @@ def _meet(state: Column, x: Column, level: int) -> Column:
     return F.struct(left.alias("left"), F.concat(state["sure"], F.array(sure)).alias("sure"))
 
 
-def _against_rest(state: Column, x: Column, only: Column) -> Column:
+def _against_rest(state: Column, x: Column) -> Column:
     """Let ``x`` meet all smaller documents of its group as if they were one,
     of ``state.rest`` words and probability ``state.p``.  Either ``x`` becomes
-    certain, or the rest does and ``x`` is left over.  Where the group is a whole
-    source (``only``), no later group could make up for an ``x`` left over: the
-    direction is then the one, if any, that makes ``x`` certain."""
+    certain, or the rest does and ``x`` is left over."""
     p, size = state["p"], x["size"]
     rest = state["rest"] - size
     gain, loss = F.least(size * (1 - p), rest * p), F.least(size * p, rest * (1 - p))
@@ -92,7 +91,6 @@ def _against_rest(state: Column, x: Column, only: Column) -> Column:
         return F.struct(size.alias("size"), x["doc_id"].alias("doc_id"), x["seq"].alias("seq"), F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)).alias("p"))
 
     can_fill, can_empty = size * (1 - p) <= rest * p, size * p <= rest * (1 - p)
-    gains = F.when(only & (can_fill != can_empty), can_fill).otherwise(gains)
     settled, alone = state["left"].isNotNull(), rest <= 0
     full, empty = gains & can_fill, ~gains & can_empty
     kept = F.when(settled | full | empty, state["left"]).when(alone, at(p)).when(gains, at(p + gain / size)).otherwise(at(p - loss / size))
@@ -104,21 +102,21 @@ def _against_rest(state: Column, x: Column, only: Column) -> Column:
     )
 
 
-def _round(members: Column, only: Column, level: int) -> Column:
+def _round(members: Column, level: int) -> Column:
     """Fold a group, largest first; a struct with ``left`` and ``sure``."""
     members = F.sort_array(members, asc=False)
     if level == 0:  # all documents of a source begin with one probability
         total = F.aggregate(members, F.lit(0.0), lambda n, x: n + x["size"])
         start = F.struct(F.element_at(members, 1)["p"].alias("p"), total.alias("rest"), F.try_element_at(F.slice(members, 1, 0), F.lit(1)).alias("left"), F.slice(members, 1, 0).alias("sure"))
-        return F.aggregate(members, start, lambda state, x: _against_rest(state, x, only))
+        return F.aggregate(members, start, lambda state, x: _against_rest(state, x))
     start = F.struct(F.element_at(members, 1).alias("left"), F.slice(members, 1, 0).alias("sure"))
     return F.aggregate(F.slice(members, 2, F.greatest(F.size(members) - 1, F.lit(0))), start, lambda state, x: _meet(state, x, level))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``
-    (0, 1 or 2) and ``taken`` = copies * size for every row of ``docs``; ``seq``
-    numbers rows of equal doc_id, source and size.
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` = copies * size,
+    ``copies`` (0, 1 or 2), ``source`` and ``seq`` for every row of ``docs``;
+    ``seq`` numbers rows of equal doc_id, source and size.
 
     Reads ``doc_id``, ``text``, ``source``; other columns are ignored.  A null
     text has size 0; null sources are one source, the last; null doc_ids take
@@ -139,13 +137,13 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "seq", "size"), groups))
 
     level, sure = 0, None
-    left = rows.where("p > 0 and size > 0").select("source", "group", (F.col("source_rows") <= GROUP).alias("only"), F.struct("size", "doc_id", "seq", "p").alias("d"))
+    left = rows.where("p > 0 and size > 0").select("source", "group", F.struct("size", "doc_id", "seq", "p").alias("d"))
     while True:
-        met = left.groupBy("source", "group", "only").agg(F.collect_list("d").alias("members")).select("source", "group", "only", _round(F.col("members"), F.col("only"), level).alias("r"))
+        met = left.groupBy("source", "group").agg(F.collect_list("d").alias("members")).select("source", "group", _round(F.col("members"), level).alias("r"))
         met = saved(met, f"level{level}")
         done = met.select("source", F.explode("r.sure").alias("d"))
         sure = done if sure is None else sure.union(done)
-        left = met.select("source", (F.col("group") / GROUP).cast("long").alias("group"), "only", F.col("r.left").alias("d"))
+        left = met.select("source", (F.col("group") / GROUP).cast("long").alias("group"), F.col("r.left").alias("d"))
         if not (met.agg(F.max("group")).first()[0] or 0):
             break
         level += 1
@@ -155,7 +153,7 @@ def mix(docs: DataFrame) -> DataFrame:
     same = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("seq") == F.col("q")) & (F.col("size") == F.col("z"))
     copies = (F.col("whole") + F.coalesce("more", F.lit(0.0))).cast("int")
     out = rows.join(sure, same, "left").withColumn("copies", copies)
-    return out.select("doc_id", "source", "seq", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "seq")
 
 
 def _few(table: DataFrame, most: int = 100_000) -> bool:
@@ -164,14 +162,17 @@ def _few(table: DataFrame, most: int = 100_000) -> bool:
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row per copy, with ``copy`` from 1."""
-    chosen = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("seq").alias("_q"), "copies")
+    """``docs`` as the mix takes them: a row per copy, with ``copy`` from 1 (with
+    underscores before it if ``docs`` has such a column)."""
+    i, src, z, q, times, size, seq = (unused(docs, n) for n in ("i", "s", "z", "q", "times", "size", "seq"))
+    name = "copy" if "copy" not in {c.lower() for c in docs.columns} else unused(docs, "copy")
+    chosen = mix(docs).where("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(src), F.col("size").alias(z), F.col("seq").alias(q), F.col("copies").alias(times))
     chosen = saved(chosen, "chosen")
-    keyed = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    again = chosen.agg(F.max("_q")).first()[0]
+    keyed = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    again = chosen.agg(F.max(q)).first()[0]
     if again and again > 1:
-        keyed = keyed.withColumn("_seq", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64(*docs.columns))))
+        keyed = keyed.withColumn(seq, F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
     else:
-        keyed = keyed.withColumn("_seq", F.lit(1))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_seq") == F.col("_q"))
-    return keyed.join(chosen, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+        keyed = keyed.withColumn(seq, F.lit(1))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").cast("string").eqNullSafe(F.col(src)) & (F.col(size) == F.col(z)) & (F.col(seq) == F.col(q))
+    return keyed.join(chosen, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias(name))

@@ -2,13 +2,15 @@
 
 import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from truegrain.llm import chat, html_extract, mixing, topk, toxicity
+from truegrain.llm import chat, html_extract, mixing, sequences, topk, toxicity
 from truegrain.llm.common import saved
 
 
@@ -90,10 +92,10 @@ def test_common():
         for i in range(len(x)):
             for j in range(len(y)):
                 table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
-        got = html_extract.common(x, y)
-        rest = iter(y)
+        got = sequences.lcs(x, y)
         assert len(got) == table[-1][-1]
-        assert all(x[i] in rest for i in got)
+        assert all(x[i] == y[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
 
 
 def pages():
@@ -135,6 +137,99 @@ def test_runs_of_copies(spark):
     assert got == {n: (f"own words of page {1 if n == 1 else 3 if n == 7 else 2} that no other has", 2) for n in range(1, 8)}
 
 
+def one_range(spark, df, **options):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        return {r["page_id"]: r for r in html_extract.extract(df.coalesce(1), **options).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_differencing_against_every_pair(spark):
+    """Each page against its nearest neighbour in plain dynamic programming."""
+    rng = random.Random(5)
+    stock = [f"stock line {i}" for i in range(8)]
+    rows, lines = [], {}
+    for n in range(40):
+        lines[n] = [rng.choice(stock) if rng.random() < 0.5 else f"own {n} {i} with words of its own" for i in range(rng.randint(1, 9))]
+        rows.append((n, f"https://a.example/{n:03}", "<article>" + "".join(f"<p>{t}</p>" for t in lines[n]) + "</article>"))
+    got = one_range(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), trust_articles=False)
+
+    def shared(x, y):
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    for n in range(40):
+        near = sorted((m for m in (n - 1, n + 1) if 0 <= m < 40), key=lambda m: -html_extract.nearness(f"/{n:03}", f"/{m:03}"))
+        near = next(m for m in near if html_extract.shared_lines(lines[n], lines[m]) is not None)
+        assert got[n]["n_shared"] == shared(lines[n], lines[near])
+        kept = got[n]["text"].split("\n\n") if got[n]["text"] else []
+        assert len(kept) == len(lines[n]) - got[n]["n_shared"]
+        assert all(t in kept for t in lines[n] if t.startswith("own"))
+
+
+def test_neighbours_decide(spark):
+    """A page's text follows its neighbours; in articles on request."""
+    page = lambda n, tag, site: (n, f"https://a.example/{n}", f"<{tag}><p>{site}</p><p>words of page {n} alone</p><p>share this with {site}</p></{tag}>")
+    for tag, options, whole in (("div", {}, False), ("article", {}, True), ("article", {"trust_articles": False}, False)):
+        for other in ("one", "two"):
+            got = one_range(spark, spark.createDataFrame([page(1, tag, "one"), page(2, tag, other)], "page_id long, url string, html string"), **options)
+            cut = other == "one" and not whole
+            assert got[1]["text"] == ("words of page 1 alone" if cut else "one\n\nwords of page 1 alone\n\nshare this with one"), (tag, options, other)
+
+
+class Article(HTMLParser):
+    """Plain reading of well-formed articles."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+        if tag == "br" and self.inside:
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_no_article_text_is_lost():
+    """The given pages against another parser, and what differencing articles
+    too would delete of them."""
+    source = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page in source:
+        plain = Article()
+        plain.feed(page)
+        want = [" ".join(b.split()) for b in plain.blocks]
+        found, zone = html_extract.lines(page)
+        assert [t for t, z in zip(found, zone) if z == 2] == [b for b in want if b]
+
+
+def test_names_are_no_rule_for_every_word():
+    keep = ("share-price", "search-results", "notice-of-meeting", "widgets")
+    drop = ("ad", "site-footer", "comment-list", "cookie-notice", "related posts", "ad-slot-2", "share")
+    for name in keep + drop:
+        found, _ = html_extract.lines(f"<article><p>x</p><div class='{name}'>y</div></article>")
+        assert found == (["x", "y"] if name in keep else ["x"]), name
+    found, zone = html_extract.lines("<main><h1>Title</h1><article><p>x</p></article></main>")
+    page = html_extract._Page.__new__(html_extract._Page)
+    page.lines, page.zone, page.host, page.path = found, zone, "", ""
+    assert html_extract.main_text(page, [])[0] == "Title\n\nx"
+
+
 def test_pages(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     rows = html_extract.extract(df).collect()
@@ -182,14 +277,17 @@ def test_mix(spark):
         mine = [r for r in got if r["source"] == s]
         assert [r["target"] for r in mine] == pytest.approx([goal] * len(mine))
         assert {r["source_size"] for r in mine} == {sizes[s]}
-        assert abs(sum(r["taken"] for r in mine) - goal) <= max(30, 0.01 * goal)
+        assert abs(sum(r["taken"] for r in mine) - goal) <= max(30, 0.01 * goal, 0.5 * max(r["size"] for r in mine))
         assert all(r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in mine)
     again = mixing.mix(df.repartition(13)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert native(out)
-    taken = mixing.take(df.drop("size", "taken"))
+    assert out.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    taken = mixing.take(df)
     assert taken.count() == sum(r["copies"] for r in got)
-    assert taken.columns == ["doc_id", "text", "source", "copy"]
+    assert taken.columns == ["doc_id", "text", "source", "size", "taken", "copy"]
+    clash = mixing.take(df.withColumn("copies", F.lit(0)).withColumn("copy", F.lit("c")).withColumn("_i", F.lit(1)))
+    assert clash.count() == taken.count() and clash.columns[-4:] == ["copies", "copy", "_i", "_copy"]
 
 
 def test_expectations(spark, monkeypatch):
@@ -278,6 +376,45 @@ def test_fit_separates():
     assert 1 / (1 + math.exp(-b)) < 0.01
 
 
+def test_chain_against_dense_models():
+    """Folds and links against the same chain written out over dense rows: a
+    document's probability never comes from a model that saw it."""
+    rng = np.random.default_rng(7)
+    n, width, folds = 60, 6, 3
+    dense = rng.random((n, width)) * (rng.random((n, width)) < 0.6)
+    y = np.array([dense[:, 0] > 0.3, dense[:, 1] + dense[:, 0] > 0.6, dense[:, 2] > 0.2], float)
+    fold = np.arange(n) % folds
+    sparse = lambda rows: (*np.nonzero(dense[rows]), dense[rows][np.nonzero(dense[rows])])
+    weights, bias, links, known = toxicity.fit_chain(*sparse(np.arange(n)), width, y, fold)
+    earlier = np.zeros((0, n))
+    for c in range(3):
+        w, b, more = toxicity.fit(*sparse(np.arange(n)), n, width, earlier, y[c])
+        assert np.allclose(weights[c], w) and np.isclose(bias[c], b) and np.allclose(links[c], more) and len(more) == c
+        if c == 2:
+            break
+        row = np.zeros(n)
+        for i in range(n):
+            others = np.flatnonzero(fold != fold[i])
+            w, b, more = toxicity.fit(*sparse(others), len(others), width, earlier[:, others], y[c][others])
+            row[i] = 1 / (1 + math.exp(-(dense[i] @ w + b + more @ earlier[:, i])))
+        earlier = np.vstack([earlier, row])
+        assert np.allclose(known[c], row) and (0 < row).all() and (row < 1).all()
+    model = toxicity.Chain(("a", "b", "c"), np.arange(width, dtype=np.uint64), weights, bias, links)
+    doc, at, value = sparse(np.arange(n))
+    got = model.predict(doc, at, np.full(n, 100))  # one occurrence of each feature
+    p = np.zeros((3, n))
+    for c in range(3):
+        p[c] = 1 / (1 + np.exp(-((dense > 0) @ weights[c] + bias[c] + sum(links[c][k] * p[k] for k in range(c)))))
+    assert np.allclose(got, p)
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, f"foul {i}" if i % 2 else f"fine {i}") for i in range(2, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs, toxicity.train(docs, labels, sample=20))
+    assert got.count() == 78
+
+
 def test_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

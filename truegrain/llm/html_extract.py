@@ -5,9 +5,13 @@ scripts and the like, with a note whether they lie in an explicit article.
 Pages are then ordered by host and URL path, so that the pages nearest by path
 stand next to each other, and each is aligned with its nearer neighbour by
 longest common subsequence.  Lines that both have are the site's, not the
-page's: they go, unless they are inside an explicit article, which is kept whole
-(an article may quote its neighbour).  Neighbours that are mere copies of the
-page tell nothing and are passed over.
+page's, and go.  Neighbours that are mere copies of the page tell nothing and are
+passed over.
+
+An explicit article element is trusted by default: its lines stay even if the
+neighbour has them, since articles quote each other and repeat stock lines (see
+the README for what differencing them costs).  ``trust_articles=False`` applies
+the differencing to articles too.
 
 The order is dealt in ranges of the URLs, found from the URL column alone, so a
 host may span any number of tasks; the pages at the ends of a range also go to
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .sequences import lcs
 
 #: Pages of one range, about.
 RANGE = 2000
@@ -61,9 +66,20 @@ _NAMES = frozenset(
     "overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar toolbar share sharing social related recommended comment comments "
     "respond reply replies disqus subscribe newsletter signup login search pager pagination copyright widget".split()
 )
+_PLAIN = frozenset(
+    "area article articles bar block body bottom box button buttons container content entry form global group header head holder icons inner item items left line link links list "
+    "main message outer page pages panel post posts primary right row secondary section side site slot text title top unit wrap wrapper".split()
+)
 _CLOSES_P = _BLOCK - frozenset(("li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "option", "optgroup", "legend", "summary"))
 
 
+def _names_a_part(name: str) -> bool:
+    """Whether a class or id is a usual name of a page part, alone or with plain
+    words (``site-footer``, ``comment-list``, not ``share-price``)."""
+    parts = _PART.findall(name)
+    return any(p in _NAMES for p in parts) and all(p in _NAMES or p in _PLAIN or p.isdigit() for p in parts)
+
+
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element is no main text by its name or attributes."""
     if tag in _SKIP or (tag == "header" and not in_article):
@@ -79,9 +95,7 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article", "p", "h1", "h2", "h3", "h4", "h5", "h6") and any(p in _NAMES for p in _PART.findall(value)):
-            return True
-        if name in ("class", "id") and tag in ("article", "p") and any(p in ("comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "cookie", "notice", "notices", "promo", "share", "footer") for p in _PART.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") and any(map(_names_a_part, value.split())):
             return True
     return False
 
@@ -209,54 +223,6 @@ def nearness(a: str, b: str) -> int:
     return 1000 * a[:n].count("/") + n
 
 
-def common(x: list, y: list) -> list[int]:
-    """Positions in ``x`` of a longest common subsequence of ``x`` and ``y``.
-
-    Bit-parallel: a row of the alignment table is one long integer, whose zero
-    bits are where the length steps up.  Rows are kept at every ``step`` items
-    and made again between them, so memory is about the root of the table's.
-    """
-    shared = set(x) & set(y)
-    xs = [i for i, v in enumerate(x) if v in shared]
-    ys = [v for v in y if v in shared]
-    if not xs:
-        return []
-    where: dict = {}
-    for j, v in enumerate(ys):
-        where[v] = where.get(v, 0) | (1 << j)
-    full = (1 << len(ys)) - 1
-
-    def advance(row: int, v) -> int:
-        met = row & where[v]
-        return ((row + met) | (row - met)) & full
-
-    step = max(1, int(len(xs) ** 0.5))
-    marks, row = [full], full
-    for n, i in enumerate(xs, 1):
-        row = advance(row, x[i])
-        if n % step == 0:
-            marks.append(row)
-    out, j, hi = [], len(ys), len(xs)
-    while hi and j:
-        lo = (hi - 1) // step * step
-        rows = [marks[lo // step]]
-        for n in range(lo, hi):
-            rows.append(advance(rows[-1], x[xs[n]]))
-        n = hi
-        while n > lo and j:
-            # lengths of the alignment of the first n (n - 1) items with the first j
-            low = (1 << j) - 1
-            if j - (rows[n - lo] & low).bit_count() == j - (rows[n - 1 - lo] & low).bit_count():
-                n -= 1
-            elif x[xs[n - 1]] == ys[j - 1]:
-                out.append(xs[n - 1])
-                n, j = n - 1, j - 1
-            else:
-                j -= 1
-        hi = n if n > lo else lo
-    return out[::-1]
-
-
 def _keys(batches):
     for batch in batches:
         keys = [url_key(u) for u in batch.column(1).to_pylist()]
@@ -311,16 +277,20 @@ class _Page:
 def shared_lines(page: list[str], other: list[str]) -> list[int] | None:
     """Positions of the page's lines that the other page has too, in order;
     None if the pages are copies of each other."""
-    same = common(page, other)
+    same = [i for i, _ in lcs(page, other)]
     size = sum(len(page[i]) for i in same)
     if size and size >= COPY * max(sum(map(len, page)), sum(map(len, other))):
         return None
     return same
 
 
-def main_text(page: _Page, neighbours: list[_Page]) -> tuple[str, int, int]:
+def main_text(page: _Page, neighbours: list[_Page], trust_articles: bool = True) -> tuple[str, int, int]:
     """Text, number of lines kept, and number of lines shared with the nearest
-    neighbour of the same host that is no copy."""
+    neighbour of the same host that is no copy.
+
+    The text is that of the article and of the main element around it; without
+    them, the whole page's; less the shared lines, but for a trusted article's.
+    """
     near = sorted((n for n in neighbours if n is not None and n.host == page.host), key=lambda n: -nearness(page.path, n.path))
     same: set[int] = set()
     for n in near:
@@ -328,18 +298,17 @@ def main_text(page: _Page, neighbours: list[_Page]) -> tuple[str, int, int]:
         if found is not None:
             same = set(found)
             break
-    best = max(page.zone, default=0)
-    # the article, whole; else the main element's or the page's own lines
-    kept = [t for i, (t, z) in enumerate(zip(page.lines, page.zone)) if z == best and (z == 2 or i not in same)]
+    least = min(1, max(page.zone, default=0))
+    kept = [t for i, (t, z) in enumerate(zip(page.lines, page.zone)) if z >= least and (i not in same or (z == 2 and trust_articles))]
     return "\n\n".join(kept), len(kept), len(same)
 
 
-def _difference(batches):
-    unpack = zstandard.ZstdDecompressor().decompress
+def _difference(trust_articles: bool):
     names = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"]
     types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32())
 
-    def pages():
+    def pages(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 yield _Page(row, unpack)
@@ -348,26 +317,29 @@ def _difference(batches):
     def near(page: _Page, other: _Page | None) -> bool:
         return other is not None and other.range == page.range and other.host == page.host
 
-    # copies next to each other share the page before them and the page after
-    out, before, copies = [], None, []
-    for after in pages():
-        if copies and near(copies[-1], after) and shared_lines(after.lines, copies[-1].lines) is None:
-            copies.append(after)
-            continue
-        for page in copies:
-            if page.guest:
+    def run(batches):
+        # copies next to each other share the page before them and the page after
+        out, before, copies = [], None, []
+        for after in pages(batches):
+            if copies and near(copies[-1], after) and shared_lines(after.lines, copies[-1].lines) is None:
+                copies.append(after)
                 continue
-            text, n, shared = main_text(page, [p for p in (before, after) if near(page, p)])
-            out.append((page.page_id, page.url, text, len(text), n, shared))
-            if len(out) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
-                out = []
-        before, copies = copies[-1] if copies else None, [after]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+            for page in copies:
+                if page.guest:
+                    continue
+                text, n, shared = main_text(page, [p for p in (before, after) if near(page, p)], trust_articles)
+                out.append((page.page_id, page.url, text, len(text), n, shared))
+                if len(out) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+                    out = []
+            before, copies = copies[-1] if copies else None, [after]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
+
+    return run
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, trust_articles: bool = True) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` (code points), ``n_lines``
     kept and ``n_shared`` with the nearest page, for every row of ``pages``.
 
@@ -389,4 +361,4 @@ def extract(pages: DataFrame) -> DataFrame:
         "range int, host string, path string, page_id long, url string, blob binary, guest boolean",
     )
     order = ("range", "host", "path", "page_id", "url", "guest")
-    return scanned.repartition(3 * len(ends) or 1, "range").sortWithinPartitions(*order).mapInArrow(_difference, SCHEMA)
+    return scanned.repartition(3 * len(ends) or 1, "range").sortWithinPartitions(*order).mapInArrow(_difference(trust_articles), SCHEMA)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.cells import js_string
+from .scratch import saved
 
 ROW = "_row"
 
@@ -50,15 +51,23 @@ class Dataset:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``_row`` in scan order, without moving a row: a partition's offset, from
-    one count per partition, and the place inside it."""
+    """``_row`` in scan order: a partition's offset, from one count per partition,
+    and the place inside it.
+
+    A plan with a shuffle may give other partitions when it runs again; it is
+    written once, so that rows and offsets come from the same partitions.
+    """
     place = df.withColumn("_place", F.monotonically_increasing_id())
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        place = saved(place, "rows")
     part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = place.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()  # a row per partition
-    offset, at = {}, 0
+    offsets, at = [], 0
     for r in sorted(sizes):
-        offset[r["p"]], at = at, at + r["n"]
-    if not offset:
-        return place.withColumn(ROW, F.lit(1).cast("long")).drop("_place")
-    start = F.element_at(F.map_from_arrays(F.array(*[F.lit(p).cast("long") for p in offset]), F.array(*[F.lit(n).cast("long") for n in offset.values()])), part)
-    return place.withColumn(ROW, start + inside + 1).drop("_place")
+        offsets.append((r["p"], at))
+        at += r["n"]
+    if len(offsets) <= 1:
+        return place.withColumn(ROW, inside + 1).drop("_place")
+    start = df.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    out = place.withColumn("_part", part).join(F.broadcast(start), "_part")
+    return out.withColumn(ROW, F.col("_offset") + inside + 1).drop("_place", "_part", "_offset")

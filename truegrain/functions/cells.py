@@ -31,7 +31,8 @@ def js_string(c: Column | str, dtype: T.DataType) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         c = c.cast("double")
-        plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        short = c.cast("string")  # plain decimals between these sizes, and no more than 12 of them
+        plain = F.when((F.abs(c) >= 0.001) & (F.abs(c) < 1e7) & (F.length(short) <= 13), short).otherwise(F.regexp_replace(F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
         return F.when(F.isnan(c), "NaN").when((F.floor(c) == c) & (F.abs(c) < 1e15), c.cast("long").cast("string")).when(F.abs(c) < 1e15, plain).otherwise(c.cast("string"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

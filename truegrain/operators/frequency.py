@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..dataset import ROW, Dataset
-from ..functions.cells import is_missing
+from ..functions.cells import is_missing, js_string
 from ..functions.numbers import parse_float, rounded
+from ..scratch import saved
 
 
 def long_frame(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
@@ -33,8 +35,28 @@ def long_frame(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
 
 def frequency_frame(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
     """``col_ord``, ``column``, ``value``, ``num``, ``cnt``, ``first_row``,
-    ``last_row``; missing cells are the row whose value is null."""
-    return long_frame(ds, columns).groupBy("col_ord", "column", "value").agg(F.first("num").alias("num"), F.count("*").alias("cnt"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+    ``last_row``; missing cells are the row whose value is null.
+
+    Doubles are counted as they are and others as text; texts of numbers and
+    numbers of texts are made once per distinct value.
+    """
+    names = columns or ds.headers
+    floats = {c for c in names if isinstance(ds.type_of(c), (T.DoubleType, T.FloatType))}
+    none = F.lit(None)
+    cells = [
+        F.struct(
+            F.lit(i).alias("col_ord"),
+            (none.cast("string") if c in floats else F.when(~is_missing(f"`{c}`", ds.type_of(c)), ds.text(c))).alias("text"),
+            (F.col(f"`{c}`").cast("double") if c in floats else none.cast("double")).alias("raw"),
+        )
+        for i, c in enumerate(names)
+    ]
+    cells = ds.df.select(F.col(ROW).alias("row"), F.explode(F.array(*cells)).alias("c")).select("row", "c.*")
+    counts = cells.groupBy("col_ord", "text", "raw").agg(F.count("*").alias("cnt"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+    value = F.coalesce("text", js_string("raw", T.DoubleType()))
+    num = F.when(F.col("text").isNull(), parse_float("raw", T.DoubleType())).otherwise(parse_float("text"))
+    column = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("col_ord") + 1)
+    return counts.select("col_ord", column.alias("column"), value.alias("value"), num.alias("num"), "cnt", "first_row", "last_row")
 
 
 def top_values(freq: DataFrame, k: int = 10, by_value: bool = False) -> DataFrame:
@@ -51,33 +73,30 @@ def order_statistics(freq: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.
     """For each column the value at position floor(n * share) of its sorted
     numbers, as ``q0``, ``q1``, ...; ``median`` is the mean of the middle two.
 
-    Counts per distinct number are cumulated in two steps: inside ranges of the
-    numbers, and over one row per range, so no task sorts a whole column.
+    Counts per distinct number are dealt in ranges whose ends are sampled, so one
+    far value doesn't put all others into one range.  Ranges are summed to a row
+    each, and only those that hold a wanted position are sorted.
     """
     nums = freq.where("num is not null").groupBy("col_ord", "num").agg(F.sum("cnt").alias("cnt"))
-    ends = nums.groupBy("col_ord").agg(F.min("num").alias("lo"), F.max("num").alias("hi"), F.sum("cnt").alias("n"))
-    parts = 256
-    width = (F.col("hi") - F.col("lo")) / parts
-    cut = nums.join(F.broadcast(ends), "col_ord").withColumn("part", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("num") - F.col("lo")) / width), F.lit(parts - 1))).otherwise(0))
-    sizes = cut.groupBy("col_ord", "part").agg(F.sum("cnt").alias("s"))
-    before = F.sum("s").over(Window.partitionBy("col_ord").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("col_ord", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("cnt").over(Window.partitionBy("col_ord", "part").orderBy("num").rowsBetween(Window.unboundedPreceding, 0))
-    cum = cut.withColumn("inside", inside).join(F.broadcast(sizes), ["col_ord", "part"]).withColumn("cum", F.col("before") + F.col("inside"))
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("cum") > place, F.col("num")))
-
-    picks = [at(F.floor(F.col("n") * p)).alias(f"q{i}") for i, p in enumerate(shares)]
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
-    return cum.groupBy("col_ord").agg(*picks, middle.alias("median"))
-
-
-def profiles(ds: Dataset, columns: list[str] | None = None, freq: DataFrame | None = None) -> DataFrame:
+    parts = max(1, int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = saved(nums.repartitionByRange(parts, "col_ord", "num").withColumn("part", F.spark_partition_id()), "ranges")
+    column, order = Window.partitionBy("col_ord"), Window.partitionBy("col_ord").orderBy("part")
+    sizes = ranged.groupBy("col_ord", "part").agg(F.sum("cnt").alias("s"))
+    sizes = sizes.select("col_ord", "part", F.sum("s").over(column).alias("n"), (F.sum("s").over(order) - F.col("s")).alias("before"), F.sum("s").over(order).alias("upto"))
+    places = {f"q{i}": F.floor(F.col("n") * p) for i, p in enumerate(shares)} | {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)}
+    here = [F.when((place >= F.col("before")) & (place < F.col("upto")), place).alias(k) for k, place in places.items()]
+    wanted = sizes.select("col_ord", "part", "before", *here).where(F.coalesce(*places).isNotNull())  # a few rows a column
+    upto = F.col("before") + F.sum("cnt").over(Window.partitionBy("col_ord", "part").orderBy("num"))
+    cum = ranged.join(F.broadcast(wanted), ["col_ord", "part"]).withColumn("upto", upto)
+    found = cum.groupBy("col_ord").agg(*[F.min(F.when(F.col("upto") > F.col(k), F.col("num"))).alias(k) for k in places])
+    return found.select("col_ord", *[f"q{i}" for i in range(len(shares))], ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
+def profiles(ds: Dataset, columns: list[str] | None = None, freq: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
     """One row per column.  Number statistics (population deviation,
     4 digits) where over 90 % of the values begin with a number; otherwise
     lengths."""
-    freq = frequency_frame(ds, columns) if freq is None else freq
+    freq = saved(frequency_frame(ds, columns), "frequencies") if freq is None else freq
     w = lambda c: F.col(c) * F.col("cnt")
     size = F.length("value")
     agg = freq.groupBy("col_ord", "column").agg(
@@ -88,7 +107,7 @@ def profiles(ds: Dataset, columns: list[str] | None = None, freq: DataFrame | No
     )
     means = agg.select("col_ord", (F.col("sum") / F.col("num_count")).alias("mean"))
     spread = freq.where("num is not null").join(F.broadcast(means), "col_ord").groupBy("col_ord").agg(F.sum((F.col("num") - F.col("mean")) ** 2 * F.col("cnt")).alias("squares"))
-    out = agg.join(F.broadcast(means), "col_ord").join(F.broadcast(spread), "col_ord", "left").join(F.broadcast(order_statistics(freq)), "col_ord", "left")
+    out = agg.join(F.broadcast(means), "col_ord").join(F.broadcast(spread), "col_ord", "left").join(F.broadcast(order_statistics(freq) if order is None else order), "col_ord", "left")
     non_null = F.col("total_count") - F.col("null_count")
     numeric = F.col("num_count") > 0.9 * non_null
     number = lambda c, d=4: F.when(numeric & (non_null > 0), rounded(c, d))

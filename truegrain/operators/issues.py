@@ -7,6 +7,8 @@ whatever the partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from ..dataset import ROW, Dataset
 from ..functions.cells import is_missing, js_string, signature
 from ..functions.numbers import is_numeric_type, parse_float, rounded
 from ..functions.types import INFERENCE, type_predicate
+from ..scratch import saved
 from .frequency import frequency_frame, order_statistics
 
 ISSUE_COLUMNS = ("rowNumber", "column", "value", "issueType", "severity", "message", "suggestion")
@@ -67,14 +70,15 @@ def infer_types(ds: Dataset, columns: list[str] | None = None, sample: int = 100
     names = columns or ds.headers
     if not names:
         return {}
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(names):
-        text = ds.text(c)
-        here = ~is_missing(f"`{c}`", ds.type_of(c))
-        able = possible_types(ds.type_of(c))
-        aggs += [F.avg(F.when(here, F.coalesce(test(text), F.lit(False)).cast("int"))).alias(f"{i}_{k}") for k, test in INFERENCE if able is None or k in able]
-    found = ds.df.where(F.col(ROW) <= sample).agg(*aggs).first().asDict()
-    return {c: next((k for k, _ in INFERENCE if (found.get(f"{i}_{k}") or 0) >= 0.9), "string") for i, c in enumerate(names)}
+    cells = [F.when(~is_missing(f"`{c}`", ds.type_of(c)), ds.text(c)).alias(f"c{i}") for i, c in enumerate(names)]
+    rows = ds.df.where(F.col(ROW) <= sample).select(*cells).limit(sample).collect()
+    spark = ds.df.sparkSession
+    kinds = [k for k, _ in INFERENCE]
+    able = spark.createDataFrame([(i, list(possible_types(ds.type_of(c)) or kinds)) for i, c in enumerate(names)], "i int, able array<string>")
+    texts = spark.createDataFrame([(i, r[i]) for r in rows for i in range(len(names)) if r[i] is not None], "i int, text string").join(F.broadcast(able), "i")
+    shares = [F.avg((F.array_contains("able", k) & F.coalesce(test(F.col("text")), F.lit(False))).cast("int")).alias(k) for k, test in INFERENCE]
+    found = {r["i"]: r for r in texts.groupBy("i").agg(*shares).collect()}
+    return {c: next((k for k in kinds if i in found and found[i][k] >= 0.9), "string") for i, c in enumerate(names)}
 
 
 def resolve(ds: Dataset, rules: list[ColumnRule], detect: bool = True) -> list[ColumnRule]:
@@ -104,8 +108,10 @@ def _cell_rules(ds: Dataset, rule: ColumnRule, check_missing: bool) -> tuple[lis
         types.append(_issue(missing, 0, name, F.when(c.isNull(), "null").otherwise(""), kind, severity, F.lit(said.format(name)), advice))
     if rule.type == "string":
         fits = F.lit(dtype.typeName() in ("string", "varchar", "char"))
-    elif rule.type == "number" and isinstance(dtype, (T.DoubleType, T.FloatType)):
+    elif rule.type in ("number", "integer") and isinstance(dtype, (T.DoubleType, T.FloatType)):
         fits = ~F.isnan(c) & (F.abs(c) < float("inf"))
+        if rule.type == "integer":
+            fits &= c == F.floor(c)
     else:
         fits = None if surely(rule.type, dtype) else type_predicate(rule.type, text)
     if fits is not None:
@@ -148,12 +154,21 @@ def cell_issues(ds: Dataset, rules: list[ColumnRule], check_missing: bool = True
     if not parts:
         return empty_issues(ds)
     hits = F.explode(F.filter(F.array(*parts), lambda x: x["i"].isNotNull()))
-    rows = ds.df.select(F.col(ROW).alias("rowNumber"), hits.alias("x"))
+    rows = ds.df.where(reduce(Column.__or__, (x["i"].isNotNull() for x in parts))).select(F.col(ROW).alias("rowNumber"), hits.alias("x"))
     return rows.select("x.stage_ord", F.col("rowNumber").alias("ord1"), F.col("x.col_ord").cast("long").alias("ord2"), F.col("x.i.rule_ord").cast("long").alias("ord3"), "rowNumber", *[f"x.i.{c}" for c in ISSUE_COLUMNS[1:]])
 
 
+ISSUE_SCHEMA = "stage_ord int, ord1 long, ord2 long, ord3 long, rowNumber long, column string, value string, issueType string, severity string, message string, suggestion string"
+
+
+def cell_types(rules: list[ColumnRule]) -> list[str]:
+    """The issue types that ``cell_issues`` may report."""
+    kinds = ["missing", "null", "type-mismatch", "range-min-violation", "range-max-violation", "length-min-violation", "length-max-violation", "pattern-violation", "enum-violation"]
+    return kinds + sorted({f"custom-{label}" for r in rules for label, _ in r.custom})
+
+
 def empty_issues(ds: Dataset) -> DataFrame:
-    return ds.df.sparkSession.createDataFrame([], "stage_ord int, ord1 long, ord2 long, ord3 long, rowNumber long, column string, value string, issueType string, severity string, message string, suggestion string")
+    return ds.df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
 
 
 def _finish(df: DataFrame, stage: str, ord1: Column, ord2: Column, row: Column, column: Column, value: Column, kind: str, severity: str, message: Column, suggestion: str) -> DataFrame:
@@ -163,16 +178,23 @@ def _finish(df: DataFrame, stage: str, ord1: Column, ord2: Column, row: Column,
     )
 
 
+#: Repeated keys that are sent to every task; more are joined by shuffle.
+FEW = 1_000_000
+
+
 def with_first(ds: Dataset, key: Column) -> DataFrame:
-    """``ds.df`` with ``_key`` and ``_first``, the first row of the same key.
+    """Row number, ``_key`` and ``_first``, the first row of the same key, of
+    the rows whose key occurs more than once.
 
-    A partially aggregated minimum and an equality join instead of a window: a
-    key with a third of all rows is aggregated where it lies, and the join can
-    be split by the adaptive skew handling.
+    Keys are counted by their hash, partially aggregated where they lie, and only
+    rows whose hash comes again are compared by the key itself.  The join to them
+    can be split by the adaptive skew handling.
     """
-    keyed = ds.df.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(ROW).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return keyed.join(first, "_key")
+    keyed = ds.df.select(ROW, key.alias("_key")).withColumn("_hash", F.xxhash64("_key"))
+    again = saved(keyed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "again")
+    some = keyed.join(F.broadcast(again) if again.count() <= FEW else again, "_hash")
+    first = some.groupBy("_key").agg(F.min(ROW).alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return some.drop("_hash").join(first, "_key")
 
 
 def duplicate_issues(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
@@ -248,12 +270,14 @@ def numeric_columns(rules: list[ColumnRule]) -> list[str]:
     return [r.name for r in rules if r.type in ("number", "integer")]
 
 
-def outlier_bounds(ds: Dataset, columns: list[str], method: str = "iqr", threshold: float = 3.0) -> DataFrame:
+def outlier_bounds(ds: Dataset, columns: list[str], method: str = "iqr", threshold: float = 3.0, freq: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
     """V4, V5: one row per column with ``low`` and ``high``; columns with too few
-    values or without spread have none."""
-    freq = frequency_frame(ds, columns).where("num is not null")
+    values or without spread have none.  ``freq``: the frequency frame of these
+    columns or more, if there is one, with its ``order`` statistics."""
+    freq = saved(frequency_frame(ds, columns), "frequencies") if freq is None else freq.where(F.col("column").isin(columns))
+    freq = freq.where("num is not null")
     if method == "iqr":
-        stats = freq.groupBy("col_ord", "column").agg(F.sum("cnt").alias("n")).where("n >= 10").join(F.broadcast(order_statistics(freq)), "col_ord")
+        stats = freq.groupBy("col_ord", "column").agg(F.sum("cnt").alias("n")).where("n >= 10").join(F.broadcast(order_statistics(freq) if order is None else order), "col_ord")
         spread = (F.col("q2") - F.col("q0")) * 1.5
         return stats.select("col_ord", "column", (F.col("q0") - spread).alias("low"), (F.col("q2") + spread).alias("high"))
     mean = freq.groupBy("col_ord", "column").agg(F.sum("cnt").alias("n"), (F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("mean")).where("n >= 10")
@@ -261,15 +285,22 @@ def outlier_bounds(ds: Dataset, columns: list[str], method: str = "iqr", thresho
     return var.where("std > 0").select("col_ord", "column", (F.col("mean") - threshold * F.col("std")).alias("low"), (F.col("mean") + threshold * F.col("std")).alias("high"))
 
 
-def outlier_issues(ds: Dataset, columns: list[str], method: str = "iqr", threshold: float = 3.0) -> DataFrame:
-    """Values outside the bounds, of which there is a row per column."""
+def outlier_issues(ds: Dataset, columns: list[str], method: str = "iqr", threshold: float = 3.0, freq: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
+    """Values outside the bounds, of which there is a row per column.
+    Rows are filtered by the bounds as they are scanned."""
     if method not in ("iqr", "zscore") or not columns:
         return empty_issues(ds)
-    from .frequency import long_frame
-
-    cells = long_frame(ds, columns).where("num is not null").join(F.broadcast(outlier_bounds(ds, columns, method, threshold)), ["col_ord", "column"])
-    out = cells.where((F.col("num") < F.col("low")) | (F.col("num") > F.col("high")))
-    shown = js_string("num", ds.df.select(F.lit(0.0)).schema[0].dataType)
+    bounds = {r["column"]: (r["low"], r["high"]) for r in outlier_bounds(ds, columns, method, threshold, freq, order).collect()}  # a row per column
+    cells = []
+    for i, c in enumerate(columns):
+        if c in bounds:
+            num, (low, high) = parse_float(f"`{c}`", ds.type_of(c)), bounds[c]
+            out = ~is_missing(f"`{c}`", ds.type_of(c)) & ((num < F.lit(low)) | (num > F.lit(high)))
+            cells.append(F.when(out, F.struct(F.lit(i).alias("col_ord"), F.lit(c).alias("column"), num.alias("num"))))
+    if not cells:
+        return empty_issues(ds)
+    out = ds.df.where(reduce(Column.__or__, (x.isNotNull() for x in cells))).select(F.col(ROW).alias("row"), F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c")).select("row", "c.*")
+    shown = js_string("num", T.DoubleType())
     return _finish(out, "outliers", F.col("col_ord"), F.col("row"), F.col("row"), F.col("column"), shown, "outlier", "warning", F.concat(F.lit("Value "), shown, F.lit(TEXTS["outlier"][0].format(method.upper()))), TEXTS["outlier"][1])
 
 

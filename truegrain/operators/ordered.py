@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import ROW
+from ..scratch import saved
 
 #: Rows of one chunk.
 CHUNK = 100_000
@@ -64,3 +65,16 @@ def with_previous(df: DataFrame, value: str, idx: str = "idx", name: str = "prev
     """The value ``by`` rows earlier, by an equality join on the row number."""
     earlier = df.select((F.col(idx) + by).alias(idx), F.col(value).alias(name))
     return df.join(earlier, idx, "left")
+
+
+def ranked(df: DataFrame, *keys: str, name: str = "idx") -> DataFrame:
+    """Number the rows 0, 1, ... in the order of ``keys``, which tell all rows
+    apart: sorted by sampled ranges, so equal first keys may span many tasks,
+    and written once, so that places and offsets are of one run."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    placed = saved(placed, "ranked")
+    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    return placed.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_offset") + inside).drop("_place", "_part", "_offset")

@@ -13,7 +13,7 @@ from ..functions.cells import is_blank, is_missing, signature
 from ..functions.numbers import is_numeric_type, js_number, rounded
 from ..functions.personal import DEFAULT_KINDS, EMBEDDED, PII, is_personal, mask
 from ..functions.text import trimmed
-from .frequency import frequency_frame, modes
+from .frequency import frequency_frame, modes, order_statistics
 from .issues import with_first
 from .ordered import filled
 
@@ -162,18 +162,28 @@ def _statistic(ds: Dataset, column: str, what: str, blank_as_zero: bool) -> obje
         found = modes(frequency_frame(some, [column])).first()
         return found["mode"] if found else None
     number = c.cast("double") if is_numeric_type(t) else F.when(F.lit(blank_as_zero) | ~is_blank(c, t), js_number(c))
-    return ds.df.agg(F.avg(number) if what == "mean" else F.median(number)).first()[0]
+    if what == "mean":
+        return ds.df.agg(F.avg(number)).first()[0]
+    counts = ds.df.select(number.alias("num")).where("num is not null and not isnan(num)").groupBy("num").agg(F.count("*").alias("cnt"))
+    found = order_statistics(counts.withColumn("col_ord", F.lit(0)), ()).first()
+    return found["median"] if found else None
 
 
 def impute(ds: Dataset, strategy: str = "auto", columns: list[str] | None = None, constant: object = None, exclude: list[str] | None = None, legacy_blank_as_zero: bool = False) -> tuple[Dataset, list[dict]]:
     """M2-M5: fill each column's blank cells, or remove their rows, column after
     column; ``auto`` is the median of numeric columns and the mode of others.
-    Mean and median fall back to the mode, and a column without values stays."""
+    Mean and median fall back to the mode, and a column without values stays.  A
+    filled integer column becomes one of doubles, for statistics needn't be
+    whole.  Complete columns cost one pass for all of them."""
     stats = []
-    for column in [c for c in (columns or ds.headers) if c in ds.headers and c not in (exclude or [])]:
+    wanted = [c for c in (columns or ds.headers) if c in ds.headers and c not in (exclude or [])]
+    if not wanted:
+        return ds, stats
+    found = ds.df.agg(*[F.sum(is_blank(f"`{c}`", ds.type_of(c)).cast("long")).alias(str(i)) for i, c in enumerate(wanted)]).first()
+    for column in [c for i, c in enumerate(wanted) if found[i]]:
         t = ds.type_of(column)
         blank = is_blank(f"`{column}`", t)
-        missing = ds.df.where(blank).count()
+        missing = ds.df.where(blank).count() if strategy == "remove" else found[wanted.index(column)]
         if not missing:
             continue
         what = strategy

@@ -13,7 +13,7 @@ from ..functions.cells import is_missing
 from ..functions.dates import parse_date
 from ..functions.numbers import first_digit, is_numeric_type, parse_float, rounded
 from .frequency import frequency_anomalies, frequency_frame
-from .ordered import reindex, running_sum, with_previous
+from .ordered import ranked, reindex, running_sum, with_previous
 
 CRITICAL = 15.51
 
@@ -196,18 +196,10 @@ def trend(ds: Dataset, date: str, value: str) -> DataFrame:
     """Linear trend over the rows in the order of their date; one row,
     none below 5 values.
 
-    The position is a row's rank by (date, row): counted per day and inside each
-    day, so no task sorts everything.
+    The position is a row's rank by (date, row).
     """
     rows = ds.df.select(ROW, as_timestamp(ds, date).alias("t"), parse_float(f"`{value}`", ds.type_of(value)).alias("v")).where("t is not null and v is not null")
-    from pyspark.sql import Window
-
-    day = F.date_trunc("day", "t")
-    rows = rows.withColumn("day", day)
-    sizes = rows.groupBy("day").agg(F.count("*").alias("n"))
-    sizes = sizes.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    x = (F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("t", ROW)) - 1).cast("double")
-    placed = rows.join(F.broadcast(sizes), "day").withColumn("x", x)
+    placed = ranked(rows, "t", ROW, name="x").withColumn("x", F.col("x").cast("double"))
     agg = placed.agg(
         F.count("*").alias("n"), F.avg("v").alias("mean"), F.regr_slope("v", "x").alias("slope"), F.regr_r2("v", "x").alias("r2"), F.min_by("v", "x").alias("start_value"), F.max_by("v", "x").alias("end_value")
     ).where("n >= 5")

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .. import errors
+from .. import errors, scratch
 from ..config import ColumnRule, RunConfig, check
-from ..dataset import Dataset
+from ..dataset import ROW, Dataset
 from ..operators import frequency, issues, quality, remediation, statistics
 from ..sources import readers, sinks
 from . import html_report
@@ -32,46 +32,67 @@ class Validation:
     warnings: list[str] = field(default_factory=list)
 
 
-def validate(ds: Dataset, cfg: RunConfig) -> Validation:
+def _counts(found: DataFrame, kinds: list[tuple[str, str | None]]) -> tuple[DataFrame, Observation]:
+    """``found``, observed: how many issues there are of each type, or of a type
+    in a column, is counted while something else reads it."""
+    seen = Observation()
+    tests = [F.col("issueType").eqNullSafe(t) & (F.lit(True) if c is None else F.col("column").eqNullSafe(c)) for t, c in kinds]
+    return found.observe(seen, *[F.sum(F.when(t, 1).otherwise(0)).alias(f"n{i}") for i, t in enumerate(tests)]), seen
+
+
+def validate(ds: Dataset, cfg: RunConfig, freq: DataFrame | None = None, order: DataFrame | None = None) -> Validation:
     """V1: the stages, each of which becomes a warning if it fails; caps per
-    type and in all.  ``true_counts`` count every violation (D5)."""
+    type and in all.  ``true_counts`` count every violation (D5).
+
+    Every stage runs once: its issues are counted as they pass on their way to
+    the cap.  What the caps leave, ``cap * issue_multiplier`` rows at most, is
+    held on the driver.  ``freq``: the frequency frame, and
+    ``order`` its order statistics, if there are any.
+    """
     warnings: list[str] = []
     rules = errors.safely(lambda: issues.resolve(ds, cfg.schema), list(cfg.schema), warnings)
     numeric = issues.numeric_columns(rules)
     dup = [c for c in cfg.duplicate_columns if c in ds.headers] or ds.headers
     unique = [*cfg.unique_columns, *[r.name for r in rules if r.unique and r.name not in cfg.unique_columns]]
     cap = cfg.max_issues
-    stages: list[tuple[bool, Callable[[], DataFrame], Callable[[DataFrame], DataFrame]]] = [
-        (True, lambda: issues.cell_issues(ds, rules, cfg.check_missing), lambda d: issues.capped(d, cap)),
-        (cfg.check_duplicates, lambda: issues.duplicate_issues(ds, dup), lambda d: issues.capped(d, cap)),
-        (cfg.fuzzy, lambda: issues.fuzzy_issues(ds, dup, cfg.fuzzy_similarity), lambda d: issues.capped(d, cap)),
-        (cfg.outliers != "none" and bool(numeric), lambda: issues.outlier_issues(ds, numeric, cfg.outliers, cfg.zscore), lambda d: issues.capped(d, cap, ("stage_ord", "column"))),
-        (bool(unique), lambda: issues.unique_issues(ds, unique), lambda d: d),
+    by_type = lambda d: issues.capped(d, cap)
+    by_column = lambda d: issues.capped(d, cap, ("stage_ord", "column"))
+    plain = [(t, None) for t in issues.cell_types(rules)]
+    stages: list[tuple[bool, list, Callable[[], DataFrame], Callable[[DataFrame], DataFrame]]] = [
+        (True, plain, lambda: issues.cell_issues(ds, rules, cfg.check_missing), by_type),
+        (cfg.check_duplicates, [("duplicate", None)], lambda: issues.duplicate_issues(ds, dup), by_type),
+        (cfg.fuzzy, [("fuzzy-duplicate", None)], lambda: issues.fuzzy_issues(ds, dup, cfg.fuzzy_similarity), by_type),
+        (cfg.outliers != "none" and bool(numeric), [("outlier", c) for c in numeric], lambda: issues.outlier_issues(ds, numeric, cfg.outliers, cfg.zscore, freq, order), by_column),
+        (bool(unique), [("unique-violation", None)], lambda: issues.unique_issues(ds, unique), lambda d: issues.truncated(d, cap * cfg.issue_multiplier)),
     ]
-    kept, true_counts, outliers = [], {}, {}
-    for wanted, make, limit in stages:
+    kept: list[Row] = []
+    true_counts, outliers = {}, {}
+    for wanted, kinds, make, limit in stages:
         if not wanted:
             continue
 
-        def stage(make=make, limit=limit) -> DataFrame:
-            found = make()
-            for r in found.groupBy("issueType", F.when(F.col("issueType") == "outlier", F.col("column")).alias("c")).agg(F.count("*").alias("n")).collect():  # a row per type and outlier column
-                true_counts[r["issueType"]] = true_counts.get(r["issueType"], 0) + r["n"]
-                if r["c"]:
-                    outliers[r["c"]] = r["n"]
-            return limit(found)
-
-        if (part := errors.safely(stage, None, warnings)) is not None:
-            kept.append(part)
-    every = kept[0] if kept else issues.empty_issues(ds)
-    for part in kept[1:]:
-        every = every.unionByName(part)
+        def stage(kinds=kinds, make=make, limit=limit) -> list[Row]:
+            found, seen = _counts(make(), kinds)
+            rows = limit(found).collect()  # caps bound them
+            for (t, c), n in zip(kinds, (seen.get.get(f"n{i}") or 0 for i in range(len(kinds)))):
+                if n:
+                    true_counts[t] = true_counts.get(t, 0) + n
+                    if c:
+                        outliers[c] = n
+            return rows
+
+        kept += errors.safely(stage, [], warnings)
+    kept.sort(key=lambda r: (r["stage_ord"], r["ord1"], r["ord2"], r["ord3"]))
     if cfg.fuzzy:  # fuzzy duplicates get what exact ones leave of the cap
         room = max(0, cap - min(cap, true_counts.get("duplicate", 0)))
-        every = every.where("issueType <> 'fuzzy-duplicate'").unionByName(issues.truncated(every.where("issueType = 'fuzzy-duplicate'"), room))
-    every = issues.truncated(every, cap * cfg.issue_multiplier).persist()  # caps bound it
-    reported = {r["issueType"]: r["count"] for r in issues.counts_by_type(every).collect()}
-    return Validation(every, true_counts, reported, outliers, every.select("rowNumber").distinct().count(), rules, warnings)
+        fuzzy = [r for r in kept if r["issueType"] == "fuzzy-duplicate"][room:]
+        kept = [r for r in kept if r not in fuzzy]
+    kept = kept[: cap * cfg.issue_multiplier]
+    every = ds.df.sparkSession.createDataFrame(kept, issues.ISSUE_SCHEMA)
+    reported: dict[str, int] = {}
+    for r in kept:
+        reported[r["issueType"]] = reported.get(r["issueType"], 0) + 1
+    return Validation(every, true_counts, reported, outliers, len({r["rowNumber"] for r in kept}), rules, warnings)
 
 
 def breakdown(counts: dict[str, int]) -> dict[str, int]:
@@ -98,9 +119,21 @@ def memory_pressure(used: int, limit: int = 512 << 20) -> str:
     return "critical" if used >= 0.95 * limit else "high" if used >= 0.8 * limit else "normal"
 
 
+def spread(ds: Dataset) -> tuple[Dataset, int]:
+    """The number of rows, and the data dealt evenly, by one write to the shared
+    folder, if a few partitions hold nearly all of it (one file that can't be
+    split, say); data in many partitions isn't touched."""
+    sizes = [r["count"] for r in ds.df.groupBy(F.spark_partition_id()).count().collect()]  # a row per partition
+    total, cores = sum(sizes), ds.df.sparkSession.sparkContext.defaultParallelism
+    if total >= 10_000 and max(sizes) * cores > 3 * total:
+        even = ds.df.repartition(cores, ROW)
+        ds = Dataset(scratch.saved(even, "rows"), ds.headers, dict(ds.metadata))
+    return ds, total
+
+
 def run(spark: SparkSession, cfg: RunConfig, dataset: Dataset | None = None) -> Report:
-    """All of it.  The input is kept in memory and on disk, for the issue pass,
-    the frequency frame and the duplicate join all scan it."""
+    """All of it.  The frequency frame is written once to the shared folder, for
+    the profiles and the outlier bounds both read it."""
     began = time.perf_counter()
     audit, lineage = AuditTrail(cfg.audit), Lineage(cfg.url or "inline")
     warnings = check(cfg) if dataset is None else []
@@ -110,15 +143,17 @@ def run(spark: SparkSession, cfg: RunConfig, dataset: Dataset | None = None) ->
     if ds.is_empty():
         value = {"summary": {"totalRows": 0, "validRows": 0, "invalidRows": 0, "qualityScore": 100, "processingTimeMs": 0}, "score": {"overall": 100, "grade": "A"}, "issues": [], "columns": [], "recommendations": [], "warnings": [*warnings, "no rows"]}
         return Report(value, None, None, html_report.render(value))
-    total = ds.df.count()
+    began_with = scratch.mark()
+    ds, total = spread(ds)
     lineage.add("parse", None, total, None, ds.headers)
     ds = ds.drop(cfg.ignored).head(cfg.sample_rows)
-    ds.df.persist()
     rows = ds.df.count() if cfg.sample_rows else total
     audit.log("VALIDATION_STARTED", rows=rows, columns=len(ds.headers))
-    found = validate(ds, cfg)
+    freq = scratch.saved(frequency.frequency_frame(ds), "frequencies")
+    order = scratch.saved(frequency.order_statistics(freq), "order")
+    found = validate(ds, cfg, freq, order)
     lineage.add("validate", rows, rows, ds.headers, ds.headers)
-    profile = sorted((r.asDict() for r in frequency.profiles(ds).collect()), key=lambda r: r["col_ord"])  # a row per column
+    profile = sorted((r.asDict() for r in frequency.profiles(ds, freq=freq, order=order).collect()), key=lambda r: r["col_ord"])  # a row per column
     counts = found.reported_counts if cfg.score_mode == "reported" else found.true_counts
     groups = breakdown(counts)
     numeric = set(issues.numeric_columns(found.rules))
@@ -170,5 +205,6 @@ def run(spark: SparkSession, cfg: RunConfig, dataset: Dataset | None = None) ->
         if cleaned is not None:
             sinks.csv(cleaned.df, f"{cfg.output_dir}/cleaned")
         audit.log("DATA_EXPORTED", path=cfg.output_dir)
-    ds.df.unpersist()
+    if cleaned is None:
+        scratch.clean(began_with)
     return Report(value, found.issues, cleaned, page)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import make, retry
+from .readers import parsed
 
 Fetch = Callable[[str, dict[str, str]], dict]
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z][A-Za-z0-9_]*)*")
@@ -48,7 +49,7 @@ def records(spark: SparkSession, rows: list[dict], nested: bool = False) -> Data
         return spark.createDataFrame([], T.StructType([]))
     names = list(dict.fromkeys(k for r in rows for k in r))
     lines = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
-    df = spark.read.json(lines.rdd.map(lambda r: r[0]))
+    df = parsed(lines)
     for n in names:
         if n not in df.columns:
             df = df.withColumn(n, F.lit(None).cast("string"))

@@ -17,19 +17,55 @@ from pyspark.sql import types as T
 from ..config import RunConfig
 from ..dataset import ROW, Dataset
 from ..errors import make, retry
+from ..operators.quality import human_size
 from . import detect
 
 CORRUPT = "_corrupt"
 
 
-def fetch(url: str, timeout: float = 60.0) -> bytes:
+#: Bytes of a remote body or workbook that the driver holds: a warning and the most.
+WARN_BYTES, MOST_BYTES = 50 << 20, 100 << 20
+
+
+def fetch(url: str, timeout: float = 60.0, most: int = MOST_BYTES) -> bytes:
     """S3: over http(s), with retries; other schemes are Spark's to read."""
 
     def get() -> bytes:
         with urllib.request.urlopen(url, timeout=timeout) as reply:
-            return reply.read()
-
-    return retry(get)
+            return reply.read(most + 1)
+
+    body = retry(get)
+    if len(body) > most:
+        raise make("parse_failed", f"over {human_size(most)}; put the file where Spark can read it")
+    return body
+
+
+def ends(spark: SparkSession, path: str, n: int = 1000) -> tuple[bytes, bytes, int]:
+    """The first and last ``n`` bytes of a file, or of the first file of a
+    folder, and its size."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f for f in fs.globStatus(where) or []), key=lambda f: f.getPath().toString())
+    if found and found[0].isDirectory():
+        found = sorted((f for f in fs.listStatus(found[0].getPath()) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().toString())
+    if not found:
+        return b"", b"", 0
+    size, stream = found[0].getLen(), fs.open(found[0].getPath())
+    try:
+        head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, size)))
+        stream.seek(max(0, size - n))
+        return head, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, size))), size
+    finally:
+        stream.close()
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Rows of JSON texts, one to a line of ``value``, with the schema of them
+    all; no line leaves the JVM."""
+    spark = lines.sparkSession
+    texts = getattr(lines.select("value")._jdf, "as")(spark.sparkContext._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark._jsparkSession.read().json(texts), spark)
 
 
 def _lines(spark: SparkSession, text: str) -> DataFrame:
@@ -52,11 +88,25 @@ def csv(spark: SparkSession, path: str | None = None, text: str | None = None, h
             raise make("parse_failed", f"{bad} of {len(rows)} rows have another number of fields")
         rows = [tuple((r + [None] * len(names))[: len(names)]) for r in rows]
         return spark.createDataFrame(rows, T.StructType([T.StructField(n.strip(), T.StringType()) for n in names]))
+    if encoding == "utf-8":
+        encoding = detect.encoding(ends(spark, path)[0])
+    encoding = "iso-8859-1" if encoding == "latin1" else encoding
+    # without pruning, so that lines of another length are told whatever columns are asked for
+    options = {"sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "mode": "PERMISSIVE", "columnPruning": "false"}
+    lines = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", escape="", schema="value string")
     if sep == "auto":
-        sample = spark.read.text(path).limit(20).collect()
-        sep = detect.delimiter("\n".join(r[0] for r in sample))
-    df = spark.read.csv(path, header=header, sep=sep, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, enforceSchema=False)
-    return df if header else df.toDF(*[f"column_{i + 1}" for i in range(len(df.columns))])
+        options["sep"] = detect.delimiter("\n".join(r[0] or "" for r in lines.limit(20).collect()))
+    # a line end inside quotes leaves a line with an odd number of quotes; only then a file can't be split
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    options["multiLine"] = str(not lines.where(quotes % 2 == 1).isEmpty()).lower()
+    first = spark.read.options(**options).csv(path, header=header)
+    names = first.columns if header else [f"column_{i + 1}" for i in range(len(first.columns))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    df = spark.read.options(**options).csv(path, header=header, schema=schema, columnNameOfCorruptRecord=CORRUPT)
+    n = df.agg(F.count("*").alias("rows"), F.count(CORRUPT).alias("bad"), F.count(f"`{names[0]}`")).first() if names else None
+    if n and detect.csv_fatal(n["rows"], n["bad"]):
+        raise make("parse_failed", f"{n['bad']} of {n['rows']} rows have another number of fields")
+    return df.drop(CORRUPT)
 
 
 def _unwrap(df: DataFrame) -> DataFrame:
@@ -86,7 +136,7 @@ def json_rows(spark: SparkSession, path: str | None = None, text: str | None = N
         items = [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
         if not items:
             return spark.createDataFrame([], T.StructType([]))
-        df = spark.read.json(spark.createDataFrame([(json.dumps(x),) for x in items], "value string").rdd.map(lambda r: r[0]))
+        df = parsed(spark.createDataFrame([(json.dumps(x),) for x in items], "value string"))
         order = [k for k in items[0] if k in df.columns]
         return df.select(*[f"`{c}`" for c in order + [c for c in df.columns if c not in order]])
     return _unwrap(spark.read.json(path, multiLine=True))
@@ -102,7 +152,7 @@ def jsonl(spark: SparkSession, path: str | None = None, text: str | None = None)
         raise make("parse_failed", f"{n['bad']} of {n['n']} lines are not JSON")
     if not n["n"]:
         return spark.createDataFrame([], T.StructType([]))
-    df = spark.read.json(lines.where(good).rdd.map(lambda r: r[0]))
+    df = parsed(lines.where(good))
     order = [k for k in _key_order(n["first"]) if k in df.columns]
     return df.select(*[f"`{c}`" for c in order + [c for c in df.columns if c not in order]])
 
@@ -141,6 +191,11 @@ def parquet_valid(head: bytes, tail: bytes, size: int) -> tuple[bool, list[str]]
     return head[:4] == b"PAR1" and tail[-4:] == b"PAR1" and size >= 12, notes
 
 
+def parquet_check(spark: SparkSession, path: str) -> tuple[bool, list[str]]:
+    """``parquet_valid`` of a real file's two ends."""
+    return parquet_valid(*ends(spark, path))
+
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -209,6 +264,8 @@ def read(spark: SparkSession, cfg: RunConfig) -> Dataset:
     url = detect.resolve_url(cfg.url) if cfg.url else None
     remote = bool(url and re.match("https?://", url))
     raw = fetch(url or "") if remote else detect.decode(cfg.base64 or "") if where == "base64" else None
+    if raw is not None and len(raw) > WARN_BYTES:
+        warnings.append(f"{human_size(len(raw))} are held on the driver")
     kind = detect.detect(cfg, raw)
     if remote and cfg.format == "auto" and raw is not None and detect.from_bytes(raw[:4096]) in ("parquet", "xlsx", "xls"):
         kind = detect.from_bytes(raw[:4096])
@@ -229,6 +286,8 @@ def read(spark: SparkSession, cfg: RunConfig) -> Dataset:
         df = jsonl(spark, path, text)
     elif kind == "xlsx":
         if raw is None:
+            if ends(spark, path, 0)[2] > MOST_BYTES:
+                raise make("parse_failed", f"workbooks over {human_size(MOST_BYTES)} aren't read")
             raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
         df = xlsx(spark, raw, cfg.sheet, cfg.has_header)
     elif path is not None:

@@ -32,11 +32,14 @@ def report(spark: SparkSession, value: dict, path: str) -> None:
 
 
 def text(spark: SparkSession, content: str, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    data(spark, content.encode(), path)
+
+
+def data(spark: SparkSession, content: bytes, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(bytearray(content.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 

@@ -1,32 +1,16 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder and
-connected components."""
+"""Shared plumbing: Arrow batches, column names and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text that Spark hands to Python at once; a batch has one row at least.
-BATCH_BYTES = 8 << 20
-
-#: Spark deletes a query's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..scratch import saved, scratch_dir
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one is set
-    only where the setting is absent, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["components", "saved", "scratch_dir", "small_batches", "unused"]
 
+#: Text that Spark hands to Python at once; a batch has one row at least.
+BATCH_BYTES = 8 << 20
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches hold ``BATCH_BYTES`` or less, so
@@ -46,39 +30,6 @@ def unused(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    This cuts the lineage, and survives lost executors because every executor
-    reads the files from the shared folder.  Nothing reads the shuffles of the
-    write again, so their files go when it ends.
-    """
-    spark = df.sparkSession
-    if not _written:
-        atexit.register(clean)
-    path = f"{scratch_dir(spark)}/truegrain/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    held = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, held) if held is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean() -> None:
-    """Delete the scratch tables written so far; frames that read them end."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: nothing is left to delete with
-            continue
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges`` by alternating large-star
     and small-star steps.

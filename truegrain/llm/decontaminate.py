@@ -67,12 +67,19 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, width: int) -> list[tuple[int
     return sorted(out, key=lambda t: (t[1], t[0]))
 
 
+def verified(found: list[tuple[int, int, int]], doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    """The tiles whose words agree one by one: equal hashes of runs propose a
+    tile, and the words confirm it."""
+    return [(a, b, n) for a, b, n in found if (doc[a : a + n] == item[b : b + n]).all()]
+
+
 class Passages:
     """A block of passages: word hashes and a sorted table of their seeds."""
 
     def __init__(self, ids: list[int], texts: list[str | None], width: int):
         words = textvec.split(pa.array(texts, pa.large_string()))
         self.size = np.diff(words.first)
+        self.first, self.words = words.first, words.hash
         self.ids = np.array(ids, np.int64)
         grams, ok = textvec.grams(words, width)
         at = np.flatnonzero(ok)
@@ -120,7 +127,8 @@ def _scan(block: Passages, width: int, coverage: float):
                 reach = len(np.unique((block.pos[entry[lo:hi]][:, None] + np.arange(width)).ravel()))
                 if reach < coverage * n:  # tiles cover no more than seeds do
                     continue
-                found = tiles(at[lo:hi] - words.first[doc[lo]], block.pos[entry[lo:hi]], width)
+                here = int(words.first[doc[lo]])
+                found = verified(tiles(at[lo:hi] - here, block.pos[entry[lo:hi]], width), words.hash[here:], block.words[block.first[item[lo]] :])
                 covered = sum(t[2] for t in found)
                 if covered >= coverage * n:
                     out.append((int(doc[lo]), int(item[lo]), covered / n, n, found))

@@ -176,8 +176,8 @@ def test_whole_copies_and_litanies(spark):
     assert sorted(r["doc_id"] for r in substring_dedup.remove_passages(df).collect()) == [1, 3, 4, 5]
 
 
-@pytest.mark.parametrize(("order", "block"), [(3, 6 << 20), (2, 2000), (1, 500)])
-def test_scores(spark, sf, monkeypatch, order, block):
+@pytest.mark.parametrize(("order", "block", "least"), [(3, 6 << 20, 1), (3, 2000, 2), (2, 2000, 1), (1, 500, 1)])
+def test_scores(spark, sf, monkeypatch, order, block, least):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
     monkeypatch.setattr(lm_score, "RANGE", 20_000)
     monkeypatch.setattr(textvec, "SLICE_BYTES", 5000)
@@ -195,10 +195,10 @@ def test_scores(spark, sf, monkeypatch, order, block):
     def score(g):
         if len(g) == 1:
             return math.log10(table[g] / total)
-        return math.log10(table[g] / table[g[:-1]]) if table[g] >= 2 else math.log10(0.4) + score(g[1:])
+        return math.log10(table[g] / table[g[:-1]]) if table[g] >= least else math.log10(0.4) + score(g[1:])
 
     want = sorted((i or 0, round(sum(score(tuple(w[max(0, j - order + 1) : j + 1])) for j in range(len(w))), 6)) for i, t in rows for w in [words(t)])
-    got = lm_score.scores(df, order).collect()
+    got = lm_score.scores(df, order, min_count=least).collect()
     assert sorted((r["doc_id"] or 0, round(r["score"], 6)) for r in got) == want
     assert [r["mean_score"] for r in got if r["doc_id"] in (900, 901)] == [None, None]
     assert lm_score.scores(df.limit(0)).count() == 0
@@ -249,3 +249,8 @@ def test_licenses_in_documents(spark, sf):
     found = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()}
     for name, text in (("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("GPL-3.0", "GNU General Public License, version 3")):
         assert {d for d, n in found if n == name} == {r["doc_id"] for r in docs.collect() if text in r["text"]}
+
+
+def test_tiles_are_verified():
+    doc, item = np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([9, 2, 3, 4, 5, 7], np.uint64)
+    assert decontaminate.verified([(1, 1, 4), (0, 0, 5)], doc, item) == [(1, 1, 4)]

@@ -6,9 +6,8 @@ The score of a word after its context is, in base-10 logarithms, that of
 * else ``ALPHA`` times the score with a context shorter by one word,
 * at last c(word) / N, N being the words of the corpus.
 
-N-grams of two or more words that occur fewer than ``MIN_COUNT`` times in the
-corpus are not in the table (a usual cut-off; without it a document's own words
-would always be found).  A document's score is the sum over its words.
+``min_count`` cuts n-grams of two or more words that occur less often out of the
+table; by default none is.  A document's score is the sum over its words.
 
 The plan is the relational one, in blocks: documents are exploded into n-grams,
 the n-grams joined by hash to count tables, the counts summed per document.  A
@@ -38,7 +37,7 @@ from .packing import pack, unpack
 
 ORDER = 3
 ALPHA = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 BLOCK_BYTES = 5 << 20
 RANGE = 2_000_000
 SCHEMA = "doc_id long, n_words long, score double, mean_score double"

@@ -202,6 +202,11 @@ def test_scores(spark, sf, monkeypatch, order, block, least):
     assert sorted((r["doc_id"] or 0, round(r["score"], 6)) for r in got) == want
     assert [r["mean_score"] for r in got if r["doc_id"] in (900, 901)] == [None, None]
     assert lm_score.scores(df.limit(0)).count() == 0
+    if least == 1:
+        got = lm_score.relational_scores(df, order, slices=2).collect()
+        assert sorted((r["doc_id"] or 0, round(r["score"], 6)) for r in got) == want
+        assert [r["mean_score"] for r in got if r["doc_id"] in (900, 901)] == [None, None]
+        assert lm_score.relational_scores(df.limit(0)).count() == 0
 
 
 def test_packing():

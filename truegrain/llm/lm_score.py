@@ -213,3 +213,75 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     counts = asked.repartition(tasks, "range").sortWithinPartitions("range", "block").mapInArrow(_count(order, min_count), "block long, range int, blob binary")
     both = blocks.select("block", F.lit(-1).alias("range"), "blob").unionByName(counts)
     return both.repartition(max(1, min(n_blocks, 100_000)), "block").sortWithinPartitions("block", "range").mapInArrow(_sum(order, bits, int(total), alpha, min_count), SCHEMA)
+
+
+def _exploded(order: int, part: int, slices: int, weighed: bool):
+    """n-grams of slice ``part``: ``h`` and how often it occurs in some text, or,
+    weighed, (row, ``h``, weight of its logarithm) for a document's score.
+
+    With every n-gram of the corpus in the table, a word costs log c(n-gram) -
+    log c(context).  The context is the n-gram of the word before as long as
+    n-grams still grow, so only the longest ones and their contexts are left."""
+
+    def run(batches):
+        for batch in batches:
+            rows, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for i, j in textvec.slices(texts):
+                words = textvec.split(texts.slice(i, j - i))
+                grams = ngrams(words, order, 64)
+                place = np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))
+                if not weighed:
+                    every = np.concatenate([g[place >= n] for n, g in enumerate(grams)])
+                    every, times = np.unique(every[every % np.uint64(slices) == part], return_counts=True)
+                    columns = {"h": pa.array(every.view(np.int64)), "times": pa.array(times.astype(np.int64))}
+                else:
+                    doc, last = words.doc_of(), np.zeros(len(place), bool)
+                    last[words.first[1:][np.diff(words.first) > 0] - 1] = True
+                    full = place >= order - 1
+                    takes = [(full, order - 1, 1)] + [(last & (place == n), n, 1) for n in range(order - 1)]
+                    if order > 1:
+                        takes.append((full & ~last, order - 2, -1))
+                    takes = [(k & (grams[n] % np.uint64(slices) == part), n, w) for k, n, w in takes]
+                    columns = {
+                        "row": pa.array(rows[i:j][np.concatenate([doc[k] for k, _, _ in takes])].astype(np.int64)),
+                        "h": pa.array(np.concatenate([grams[n][k] for k, n, _ in takes]).view(np.int64)),
+                        "weight": pa.array(np.concatenate([np.full(int(k.sum()), w, np.int32) for k, _, w in takes])),
+                    }
+                table = pa.table(columns)
+                yield from table.to_batches(max_chunksize=200_000)
+
+    return run
+
+
+def _sizes(batches):
+    for batch in batches:
+        n = [np.diff(textvec.split(batch.column(2).slice(i, j - i)).first) for i, j in textvec.slices(batch.column(2))]
+        n = np.concatenate(n) if n else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), batch.column(2)], names=["row", "doc_id", "n_words", "text"])
+
+
+def relational_scores(docs: DataFrame, order: int = ORDER, slices: int = 4) -> DataFrame:
+    """What ``scores`` returns without a cut, by tables of single n-grams.
+
+    n-grams are exploded, counted into a table by hash, joined to it and summed
+    for each row, in ``slices`` by hash one after another, which divides the
+    disk that shuffles take.  Counts are aggregated before they are shuffled,
+    and the join's sides are plain shuffles, so that a frequent n-gram can be
+    split.  Nulls, empty texts, repeated rows and empty tables as there.
+    """
+    source = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = saved(source.mapInArrow(_sizes, "row long, doc_id long, n_words long, text string"), "texts")
+    total = base.agg(F.sum("n_words")).first()[0] or 0
+    sums = None
+    for part in range(slices):
+        texts = base.select("row", "text")
+        table = texts.mapInArrow(_exploded(order, part, slices, False), "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
+        table = saved(table, "counts")
+        grams = texts.mapInArrow(_exploded(order, part, slices, True), "row long, h long, weight int")
+        some = saved(grams.join(table, "h").groupBy("row").agg(F.sum(F.col("weight") * F.log10("times")).alias("part")), "sums")
+        sums = some if sums is None else sums.unionByName(some)
+    sums = sums.groupBy("row").agg(F.sum("part").alias("part"))
+    of_all = F.lit(math.log10(max(1, total))) * (F.lit(1) if order > 1 else F.col("n_words"))
+    score = F.when(F.col("n_words") > 0, F.coalesce("part", F.lit(0.0)) - of_all).otherwise(0.0)
+    out = base.select("row", "doc_id", "n_words").join(sums, "row", "left").select("doc_id", "n_words", score.alias("score"))
+    return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

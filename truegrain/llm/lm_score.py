@@ -9,16 +9,17 @@ The score of a word after its context is, in base-10 logarithms, that of
 ``min_count`` cuts n-grams of two or more words that occur less often out of the
 table; by default none is.  A document's score is the sum over its words.
 
-The plan is the relational one, in blocks: documents are exploded into n-grams,
-the n-grams joined by hash to count tables, the counts summed per document.  A
-block of documents sends each n-gram once, with its count, in sorted and packed
-pieces, one for each range of hashes; a range's task adds the pieces up to its
-part of the count table and joins it to the pieces, and the block sums up what
-returns.  A frequent n-gram is thus one entry for each block and no task's
-burden; pieces never outnumber the n-grams, and no task holds more than a range
-(about ``RANGE`` entries) or a block (about ``BLOCK_BYTES`` of text).
-
-Hashes have 24 bits more than it takes to number all n-grams, 64 at most.
+``relational_scores`` is plainly relational: a row per n-gram, counted into tables
+by hash, joined to them, summed per document.  ``scores`` does the same sums with
+less to shuffle and without Spark's join: a block of documents sends each n-gram
+once, with its count, in sorted and packed pieces, one for each range of hashes;
+a range's task adds the pieces up to its part of the count table and sends the
+counts back, and the block sums them up.  A frequent n-gram is thus one entry for
+each block, all of them in one range's task, so that task grows with the number
+of blocks.  Pieces never outnumber the n-grams.
+
+Hashes of ``scores`` have 24 bits more than it takes to number all n-grams, 64 at
+most; those of ``relational_scores`` have 64.
 """
 
 from __future__ import annotations

@@ -361,6 +361,32 @@ def test_long_threads(spark):
     assert got == list(range(0, 40, 2)) + list(range(1, 40, 2))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_threads_against_recursion(spark, seed):
+    rng = random.Random(seed)
+    up = {(c, t): rng.randrange(t) if t and rng.random() < 0.8 else None for c, n in enumerate((60, 1, 25)) for t in range(n)}
+    up |= {(3, t): t - 1 if t else None for t in range(300)}  # one deep thread
+    up |= {(4, t): 0 if t else None for t in range(200)}  # one message that all answer
+    rows = [(c, t, "user", f"> message {p}\nmessage {t}" if p is not None else f"message {t}") for (c, t), p in up.items()]
+    rng.shuffle(rows)
+    want = []
+    for c in range(5):
+        todo, at = [(t, 1) for (k, t), p in sorted(up.items(), reverse=True) if k == c and p is None], 0
+        while todo:
+            t, depth = todo.pop()
+            at += 1
+            want.append((c, at, t, up[c, t], depth))
+            todo += [(x, depth + 1) for (k, x), p in sorted(up.items(), reverse=True) if k == c and p == t]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(map(tuple, got.select("conv_id", "position", "turn", "parent_turn", "depth").collect())) == sorted(want)
+
+
+def test_replies_to_one_turn(spark):
+    rows = [(1, 0, "a", "first text"), (1, 0, "b", "second text"), (1, 1, "c", "> first text\nx"), (1, 1, "c", "> second text\ny"), (1, 2, "c", "> second text\nz")]
+    got = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("position")
+    assert [(r["position"], r["text"], r["depth"]) for r in got.collect()] == [(1, "first text", 1), (2, "x", 2), (3, "second text", 1), (4, "y", 2), (5, "z", 2)]
+
+
 # --- toxicity ----------------------------------------------------------------
 
 

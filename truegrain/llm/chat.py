@@ -7,22 +7,25 @@ own words (the whole message, its paragraphs and its lines): the first message
 of the conversation to have said it, if it came before, is the original.  A
 message answers the original that its first-level quotes share most text with.
 
-Replies stand under what they answer: a message's path is its original's path
-and its own turn, a message that quotes nothing has its turn as its path, and
-conversations are ordered by path.  Quotes, and the lines that announce them, are
-cut out.
+Replies stand under what they answer, in the order of their turns, each followed
+by its own replies; messages that quote nothing are ordered likewise.  A position
+is counted from sums, one number a row: the thread sizes of earlier siblings,
+added up along what the message answers.  Quotes, and the lines that announce
+them, are cut out.
 
 Everything is DataFrame operations.  Originals are found by a partially
 aggregated minimum and an equality join, so a line that everybody says makes as
-many rows as it has occurrences; order and positions come from a range sort, so
-a conversation may span any number of tasks.
+many rows as it has occurrences; siblings are ordered by a range sort and threads
+added up by pointer doubling, so a conversation may span any number of tasks and
+a thread may be of any depth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked, running_sum
 from .common import saved
 
 MARKS = r"^[ \t]*(?:(?:>|&gt;)[ \t]?)+"
@@ -76,23 +79,31 @@ def link(parsed: DataFrame) -> DataFrame:
     return best.select("row", "turn", F.col("best.parent").alias("parent"), F.col("best.turn").alias("parent_turn"))
 
 
-def _paths(links: DataFrame) -> DataFrame:
-    """``row``, ``path`` (turns from the first message of the thread down) of
-    messages that answer another, by pointer doubling."""
-    p = links.select("row", F.col("parent").alias("up"), F.col("parent_turn").alias("up_turn"), F.array("turn").alias("path"), F.lit(False).alias("top"))
-    while True:
-        over = p.select(F.col("row").alias("up"), F.col("up").alias("up2"), F.col("up_turn").alias("up_turn2"), F.col("path").alias("over"), F.col("top").alias("top2"))
-        open_ = p.where(~F.col("top")).join(over, "up", "left")
-        step = open_.select(
-            "row",
-            F.coalesce("up2", "up").alias("up"),
-            F.when(F.col("over").isNull(), F.col("up_turn")).otherwise(F.col("up_turn2")).alias("up_turn"),
-            F.when(F.col("over").isNull(), F.concat(F.array("up_turn"), "path")).otherwise(F.concat("over", "path")).alias("path"),
-            F.when(F.col("over").isNull(), True).otherwise(F.col("top2")).alias("top"),
-        )
-        p = saved(step.union(p.where("top").select("row", "up", "up_turn", "path", "top")), "paths")
-        if p.where(~F.col("top")).isEmpty():
-            return p.select("row", "path")
+def _threads(links: DataFrame) -> DataFrame:
+    """``row``, ``depth`` (1 for what answers nothing) and ``size`` (messages of
+    its thread from it down, itself included) of messages that answer or are
+    answered, by pointer doubling: after k rounds a row knows its 2^k-th
+    ancestor and counts the descendants nearer than that."""
+    ends = links.select("row", F.col("parent").alias("up")).union(links.select("parent", F.lit(None).cast("long")))
+    p = saved(ends.groupBy("row").agg(F.max("up").alias("up")).select("row", "up", F.lit(1).alias("depth"), F.lit(1).cast("long").alias("size")), "threads")
+    while not p.where("up is not null").isEmpty():
+        far = p.where("up is not null")
+        below = far.groupBy("up").agg(F.sum("size").alias("below")).withColumnRenamed("up", "row")
+        over = p.select(F.col("row").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("over"))
+        step = far.join(over, "up").select("row", F.col("up2").alias("up"), (F.col("depth") + F.col("over")).alias("depth"), "size").union(p.where("up is null"))
+        p = saved(step.join(below, "row", "left").select("row", "up", "depth", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), "threads")
+    return p.select("row", "depth", "size")
+
+
+def _places(steps: DataFrame) -> DataFrame:
+    """``row`` and ``position``: the sum of ``step`` over a row and all that it
+    answers (``up``, and so on), by pointer doubling."""
+    p = saved(steps.select("row", "up", F.col("step").alias("position")), "places")
+    while not p.where("up is not null").isEmpty():
+        over = p.select(F.col("row").alias("up"), F.col("up").alias("up2"), F.col("position").alias("over"))
+        step = p.where("up is not null").join(over, "up").select("row", F.col("up2").alias("up"), (F.col("position") + F.col("over")).alias("position"))
+        p = saved(step.union(p.where("up is null")), "places")
+    return p.select("row", "position")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -100,32 +111,24 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     One row per distinct message: ``conv_id``, ``position`` from 1, ``turn``,
     ``role``, ``text``, ``parent_turn`` (null if it quotes nothing said before)
-    and ``depth`` (length of its path).  Reads ``conv_id``, ``turn``, ``role``,
+    and ``depth`` (1, or one more than what it answers).  Reads ``conv_id``, ``turn``, ``role``,
     ``text``; other columns are ignored.  Repeated rows are one message; a null
     text is an empty message; messages without conv_id form one conversation, in
     which nothing is linked; a null turn comes first and answers and originates
-    nothing; several messages of one turn are ordered by role and text; an empty
-    table gives no rows.
+    nothing; several messages of one turn that answer the same are ordered by role
+    and text, each followed by its replies; an empty table gives no rows.
     """
     parsed = saved(parse(messages), "messages")
     links = saved(link(parsed), "links")
-    paths = saved(links.select("row", F.array("turn").alias("path")), "paths") if links.isEmpty() else _paths(links)
-    rows = parsed.select("row", "conv_id", "turn", "role", "own").join(paths, "row", "left").join(links.select("row", "parent_turn"), "row", "left")
-    rows = rows.withColumn("path", F.coalesce("path", F.array("turn")))
-    spark = messages.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ("conv_id", "path", "turn", "role", "own", "row")
-    ranged = rows.repartitionByRange(n, "conv_id", "path", "turn", "role", "row").sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    ranged = saved(ranged, "ordered")
-    # a row's place: its partition's offset (a row per partition) and its place in it
-    part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("offset"))
-    placed = ranged.withColumn("part", part).join(F.broadcast(sizes), "part").withColumn("at", F.col("offset") + inside)
-    first = placed.groupBy("conv_id").agg(F.min("at").alias("first")).withColumnRenamed("conv_id", "c")
-    out = placed.join(first, F.col("conv_id").eqNullSafe(F.col("c")))
-    return out.select("conv_id", (F.col("at") - F.col("first") + 1).alias("position"), "turn", "role", F.col("own").alias("text"), "parent_turn", F.size("path").alias("depth"))
+    rows = parsed.select("row", "conv_id", "turn", "role", "own").join(links.select("row", "parent", "parent_turn"), "row", "left").join(_threads(links), "row", "left")
+    rows = rows.withColumn("depth", F.coalesce("depth", F.lit(1))).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    # a row stands behind what it answers and the threads of its earlier siblings
+    lined = running_sum(ranked(rows.drop("depth", "parent_turn"), "conv_id", "parent", "turn", "role", "own", "row", name="at"), "size", "at", "through")
+    lined = saved(lined.select("row", "conv_id", "parent", (F.col("through").cast("long") - F.col("size")).alias("before")), "siblings")
+    first = lined.groupBy(F.col("conv_id").alias("c"), F.col("parent").alias("up")).agg(F.min("before").alias("first"))
+    steps = lined.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("parent").eqNullSafe(F.col("up"))).select("row", "up", (F.col("before") - F.col("first") + 1).alias("step"))
+    out = rows.join(_places(steps), "row")
+    return out.select("conv_id", "position", "turn", "role", F.col("own").alias("text"), "parent_turn", "depth")
 
 
 def transcripts(messages: DataFrame, piece: int = 256) -> DataFrame:

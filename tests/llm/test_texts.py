@@ -256,6 +256,51 @@ def test_licenses_in_documents(spark, sf):
         assert {d for d, n in found if n == name} == {r["doc_id"] for r in docs.collect() if text in r["text"]}
 
 
+def tile_words(found):
+    return sum(n for _, _, n in found)
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_tiles_against_brute_force(monkeypatch, same_hash):
+    if same_hash:  # words decide where hashes can't
+        monkeypatch.setattr(decontaminate.textvec, "mix", np.zeros_like)
+    rng = random.Random(3)
+    for n in range(150):
+        letters = rng.choice((1, 2, 3, 40))
+        doc = [rng.randrange(letters) for _ in range(rng.randrange(1, 40))]
+        item = [rng.randrange(letters) for _ in range(rng.randrange(1, 25))]
+        width = rng.randrange(1, 5)
+        got = decontaminate.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), width)
+        assert tile_words(got) == plain_tiles(doc, item, width)
+        assert all(doc[a : a + k] == item[b : b + k] for a, b, k in got)
+        for side in (0, 1):
+            marked = [t[side] + k for t in got for k in range(t[2])]
+            assert len(set(marked)) == len(marked)
+
+
 def test_tiles_are_verified():
     doc, item = np.array([1, 2, 3, 4, 5, 6], np.uint64), np.array([9, 2, 3, 4, 5, 7], np.uint64)
-    assert decontaminate.verified([(1, 1, 4), (0, 0, 5)], doc, item) == [(1, 1, 4)]
+    assert decontaminate.tiles(doc, item, 4) == [(1, 1, 4)]
+    assert decontaminate.tiles(doc, item, 5) == []
+
+
+def test_litanies_in_both(spark):
+    """A document and a passage that both say the same words over and over make
+    no list of all pairs of places (2 * 10^9 of them here)."""
+    items = [(1, "amen " * 5_000 + "end of it"), (2, "amen " * 9 + "but this one says more than that to the end"), (3, "holy holy lord " * 3000)]
+    docs = [(1, "amen " * 400_000), (2, "x " * 300_000 + "amen " * 9 + "but this one says more than that to the end"), (3, ("holy holy lord " * 2 + "god ") * 30_000), (4, "so it is " * 100)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_frequent_seeds_are_not_needed(spark):
+    """Passages that begin alike are found by their other words."""
+    rng = random.Random(5)
+    vocab = vocabulary(rng)
+    items = [(i, "which of the following is the right answer " + " ".join(rng.choices(vocab, k=rng.randint(0, 25)))) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(vocab, k=20)) + " " + t) for i, t in items] + [(100, "which of the following is the right answer")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), coverage=0.8)
+    got = {(r["doc_id"], r["item_id"]): round(r["coverage"] * r["n_words"]) for r in found.collect()}
+    want = {(d, i): plain_tiles(words(x), words(t), 5) for d, x in docs for i, t in items}
+    sizes = {i: len(words(t)) for i, t in items}
+    assert got == {k: n for k, n in want.items() if n >= 0.8 * sizes[k[1]]}

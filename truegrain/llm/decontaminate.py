@@ -14,8 +14,6 @@ bounded however large the benchmark is.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,57 +24,103 @@ from .common import small_batches
 
 MIN_WORDS = 5
 COVERAGE = 0.8
+#: Of the rolling hashes; any odd number.
+BASE = 0x9E3779B97F4A7C15
 #: Text of the passages sent to the executors at once.
 BLOCK_BYTES = 8 << 20
 TILE_TYPE = "array<struct<doc_start: int, item_start: int, words: int>>"
 SCHEMA = f"doc_id long, item_id long, coverage double, n_words int, n_tiles int, tiles {TILE_TYPE}"
 
 
-def tiles(doc_at: np.ndarray, item_at: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seeds.
+class Runs:
+    """Karp-Rabin hashes of the runs of any length of a sequence of words, and
+    which of the words are still unmarked."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        # powers of an odd base and of its inverse modulo 2^64
+        self.sums = np.append(np.uint64(0), np.cumsum(textvec.mix(words) * _powers(BASE, len(words))))
+        self.down = _powers(pow(BASE, -1, 1 << 64), len(words))
+        self.used = np.zeros(len(words), bool)
+        self.count()
+
+    def count(self) -> None:
+        """Unmarked words in a row from each position on."""
+        n = len(self.words)
+        nearest = np.where(self.used, np.arange(n), n)
+        self.free = np.minimum.accumulate(nearest[::-1])[::-1] - np.arange(n)
+
+    def at(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and positions of the unmarked runs of ``size`` words."""
+        where = np.flatnonzero(self.free >= size)
+        return (self.sums[where + size] - self.sums[where]) * self.down[where], where
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
 
-    ``doc_at[i]``, ``item_at[i]``: positions of equal runs of ``width`` words.
-    Again and again the longest match of unmarked words becomes a tile (ties:
-    first in the passage, then in the document); what is left of matches that
-    it overlaps competes again if it still has ``width`` words.  Returns
-    (document position, passage position, words) in passage order.
-    """
-    order = np.lexsort((item_at, doc_at - item_at))
-    d, i = doc_at[order], item_at[order]
-    fresh = np.ones(len(d), bool)
-    fresh[1:] = (np.diff(d - i) != 0) | (np.diff(i) != 1)
-    head = np.flatnonzero(fresh)
-    size = np.diff(np.append(head, len(d))) + width - 1
-    heap = [(-int(n), int(b), int(a)) for a, b, n in zip(d[head], i[head], size)]
-    heapq.heapify(heap)
-    span_d, span_i = int(doc_at.max()) + width, int(item_at.max()) + width
-    low = int(doc_at.min())
-    used_d, used_i = np.zeros(span_d - low, bool), np.zeros(span_i, bool)
-    out = []
-    while heap:
-        n, b, a = heapq.heappop(heap)
-        free = ~(used_d[a - low : a - low - n] | used_i[b : b - n])
-        if free.all():
-            out.append((a, b, -n))
-            used_d[a - low : a - low - n] = used_i[b : b - n] = True
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
-        for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-            if e - s >= width:
-                heapq.heappush(heap, (s - e, b + s, a + s))
-    return sorted(out, key=lambda t: (t[1], t[0]))
 
+def tiles(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of words by running Karp-Rabin.
 
-def verified(found: list[tuple[int, int, int]], doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
-    """The tiles whose words agree one by one: equal hashes of runs propose a
-    tile, and the words confirm it."""
-    return [(a, b, n) for a, b, n in found if (doc[a : a + n] == item[b : b + n]).all()]
+    The longest length at which both have an equal run of unmarked words is
+    searched by halving, for shorter parts of a run are equal too.  All runs of
+    that length are then marked, first in the passage and then in the document,
+    if their words agree one by one, and the search goes on below that length,
+    down to ``width``.  No list of all equal pairs is made, so runs that both
+    sides repeat cost no more than others.  Returns (document position, passage
+    position, words) in passage order.
+    """
+    x, y = Runs(doc), Runs(item)
+    out: list[tuple[int, int, int]] = []
+    top = min(len(doc), len(item))
+    while True:
+        low, high = width - 1, min(top, int(x.free.max(initial=0)), int(y.free.max(initial=0)))
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.isin(y.at(size)[0], x.at(size)[0]).any():
+                low = size
+            else:
+                high = size - 1
+        if low < width:
+            return sorted(out, key=lambda t: (t[1], t[0]))
+        mark(x, y, low, out)
+        top = low - 1
+
+
+def mark(x: Runs, y: Runs, size: int, out: list[tuple[int, int, int]]) -> None:
+    """Mark the equal runs of ``size`` words, the longest there are.  Runs marked
+    here are equally long, so one that overlaps them has a marked end."""
+    (seen, at), (known, place) = y.at(size), x.at(size)
+    order = np.argsort(known, kind="stable")
+    known, place = known[order], place[order]
+    low, high = np.searchsorted(known, seen), np.searchsorted(known, seen, side="right")
+    begun: dict[int, int] = {}  # where the places of a hash begin that may be unmarked
+    for b, lo, hi in zip(at.tolist(), low.tolist(), high.tolist()):
+        if lo == hi or y.used[b] or y.used[b + size - 1]:
+            continue
+        marked = lambda k: x.used[place[k]] or x.used[place[k] + size - 1]
+        first = begun.get(lo, lo)
+        while first < hi and marked(first):
+            first += 1
+        begun[lo] = first
+        for k in range(first, hi):
+            a = int(place[k])
+            if not marked(k) and (x.words[a : a + size] == y.words[b : b + size]).all():
+                out.append((a, b, size))
+                x.used[a : a + size] = y.used[b : b + size] = True
+                break
+    x.count()
+    y.count()
 
 
 class Passages:
-    """A block of passages: word hashes and a sorted table of their seeds."""
+    """A block of passages: word hashes, and for every seed the passages
+    (``item[begin[s]:begin[s + 1]]``) to be looked at where it is met."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], width: int):
+    def __init__(self, ids: list[int], texts: list[str | None], width: int, coverage: float):
         words = textvec.split(pa.array(texts, pa.large_string()))
         self.size = np.diff(words.first)
         self.first, self.words = words.first, words.hash
@@ -84,8 +128,19 @@ class Passages:
         grams, ok = textvec.grams(words, width)
         at = np.flatnonzero(ok)
         item = words.doc_of()[at]
-        order = np.argsort(grams[at], kind="stable")
-        self.seed, self.item, self.pos = grams[at][order], item[order], (at - words.first[item])[order]
+        # seeds by number, -1 where a passage has none
+        self.seeds, of = np.unique(grams[at], return_inverse=True)
+        self.slot = np.full(len(words.hash), -1)
+        self.slot[at] = of
+        # A leak covers so many words that it has more seeds than a passage's
+        # most frequent ones here: those needn't be looked up.
+        times = np.bincount(of, minlength=len(self.seeds))
+        order = np.lexsort((at, -times[of], item))
+        rank = np.arange(len(at)) - np.searchsorted(item, item)
+        rare = order[rank >= np.ceil(coverage * self.size[item] / width) - 1]
+        pairs = np.unique(np.stack([of[rare], item[rare]]), axis=1) if len(rare) else np.zeros((2, 0), np.int64)
+        self.item = pairs[1]
+        self.begin = np.searchsorted(pairs[0], np.arange(len(self.seeds) + 1))
         # passages of fewer words than a tile match as a whole
         self.short = {}
         for n in {int(x) for x in self.size if 0 < x < width}:
@@ -95,52 +150,61 @@ class Passages:
                 self.short.setdefault(n, {}).setdefault(h, []).append(it)
 
 
+def _leak(words: np.ndarray, first: int, at: np.ndarray, slot: np.ndarray, met: np.ndarray, block: Passages, i: int, width: int, coverage: float) -> list[tuple[int, int, int]]:
+    """Tiles of passage ``i`` in the document that begins at ``words[first]`` and
+    has seeds ``slot`` at ``at`` (distinct: ``met``), if they cover enough."""
+    part = slice(int(block.first[i]), int(block.first[i + 1]))
+    item, seeds = block.words[part], block.slot[part]
+    reach = np.convolve(np.isin(seeds, met), np.ones(width, int))[: len(item)] > 0
+    least = coverage * len(item)
+    if reach.sum() < least:  # tiles cover no more than seeds do
+        return []
+    # the document's words under the passage's seeds, with a word of neither where some are left out
+    near = at[np.isin(slot, seeds)]
+    word = np.unique(near[:, None] + np.arange(width))
+    gap = np.flatnonzero(np.diff(word) > 1) + 1
+    none = np.setdiff1d(np.arange(len(item) + 1, dtype=np.uint64), item)[0]
+    found = tiles(np.insert(words[word], gap, none), item, width)
+    if sum(t[2] for t in found) < least:
+        return []
+    place = np.insert(word, gap, -1) - first
+    return [(int(place[a]), b, n) for a, b, n in found]
+
+
 def _scan(block: Passages, width: int, coverage: float):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_words", pa.int32()), ("n_tiles", pa.int32()),
         ("tiles", pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))),
     ])
-    seeds, begin = np.unique(block.seed, return_index=True)
-    stop = np.append(begin[1:], len(block.seed))
-
     def rows_of(ids: pa.Array, texts: pa.Array) -> list[dict]:
         words = textvec.split(texts)
         grams, ok = textvec.grams(words, width)
         out = []
-        if len(seeds):
-            slot = np.searchsorted(seeds, grams)
-            slot[slot == len(seeds)] = 0
-            hit = np.flatnonzero(ok & (seeds[slot] == grams))
+        if len(block.seeds):
+            slot = np.searchsorted(block.seeds, grams)
+            slot[slot == len(block.seeds)] = 0
+            hit = np.flatnonzero(ok & (block.seeds[slot] == grams))
             slot = slot[hit]
-            times = stop[slot] - begin[slot]
-            at = np.repeat(hit, times)
-            entry = np.repeat(begin[slot], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            doc = np.searchsorted(words.first, at, side="right") - 1
-            item = block.item[entry]
-            order = np.lexsort((item, doc))
-            at, entry, doc, item = at[order], entry[order], doc[order], item[order]
-            cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-            for lo, hi in zip(np.append(0, cut), np.append(cut, len(at))):
-                if lo == hi:
-                    continue
-                n = int(block.size[item[lo]])
-                reach = len(np.unique((block.pos[entry[lo:hi]][:, None] + np.arange(width)).ravel()))
-                if reach < coverage * n:  # tiles cover no more than seeds do
-                    continue
-                here = int(words.first[doc[lo]])
-                found = verified(tiles(at[lo:hi] - here, block.pos[entry[lo:hi]], width), words.hash[here:], block.words[block.first[item[lo]] :])
-                covered = sum(t[2] for t in found)
-                if covered >= coverage * n:
-                    out.append((int(doc[lo]), int(item[lo]), covered / n, n, found))
+            edge = np.searchsorted(hit, words.first)
+            for d in np.flatnonzero(np.diff(edge)).tolist():
+                at, own = hit[edge[d] : edge[d + 1]], slot[edge[d] : edge[d + 1]]
+                met = np.unique(own)
+                here = [block.item[block.begin[s] : block.begin[s + 1]] for s in met.tolist()]
+                for i in np.unique(np.concatenate(here)).tolist():
+                    if found := _leak(words.hash, int(words.first[d]), at, own, met, block, i, width, coverage):
+                        covered = sum(t[2] for t in found)
+                        out.append((d, i, covered / int(block.size[i]), int(block.size[i]), found))
         for n, table in block.short.items():
             g, good = textvec.grams(words, n)
             known = np.fromiter(table, np.uint64, len(table))
             seen = set()
             for at in np.flatnonzero(good & np.isin(g, known)).tolist():
-                doc = int(np.searchsorted(words.first, at, side="right")) - 1
-                for item in table[int(g[at])]:
-                    if (doc, item) not in seen:
-                        seen.add((doc, item))
+                doc, h = int(np.searchsorted(words.first, at, side="right")) - 1, int(g[at])
+                if (doc, h) in seen:
+                    continue
+                seen.add((doc, h))
+                for item in table[h]:
+                    if (words.hash[at : at + n] == block.words[block.first[item] :][:n]).all():
                         out.append((doc, item, 1.0, n, [(at - int(words.first[doc]), 0, n)]))
         return [
             {"doc_id": ids[d].as_py(), "item_id": int(block.ids[i]), "coverage": c, "n_words": n, "n_tiles": len(t),
@@ -178,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, cov
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = part.orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        block = Passages([r[0] for r in rows], [r[1] for r in rows], min_words)
+        block = Passages([r[0] for r in rows], [r[1] for r in rows], min_words, coverage)
         found = source.mapInArrow(_scan(block, min_words, coverage), SCHEMA)
         out = found if out is None else out.union(found)
     return out

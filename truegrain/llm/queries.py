@@ -116,6 +116,6 @@ def oracle_sql() -> dict[str, str]:
     """The other operators hash, draw, train or align and have no SQL form.  Their
     tests hold op1, op2 and op5 against brute force, op6's targets and sums, op8's
     folds and chain against models written out, and op9's steps and its passages
-    against brute force and random plantings by length and edits; op3 is held
-    against plantings."""
+    against brute force and random plantings by length and edits, and op3's alignment
+    and places against brute force, all on small tables."""
     return {"op4_topk": OP4, "op7_chat": OP7, "op10_lm_scores": OP10}

@@ -158,6 +158,13 @@ def test_ordered(spark, seed, monkeypatch):
     assert m["increasing_ratio"] == pytest.approx(sum(b > a for a, b in zip(here, here[1:])) / (len(here) - 1), abs=1e-4)
 
 
+def test_backward_fill_runs_through_a_chunk_once(spark):
+    ds = make(spark, [(float(i) if i % 3 == 0 else None,) for i in range(10)], "v double")
+    df = ordered.filled(ds.df, {"v": F.col("v").isNull()}, forward=False)
+    assert "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert col(df.orderBy(ROW), "v") == [0, 3, 3, 3, 6, 6, 6, 9, 9, 9]
+
+
 def test_repeating(spark):
     ds = make(spark, [(str(i % 3),) for i in range(30)], "v string")
     r = statistics.repeating(ds, "v").first()

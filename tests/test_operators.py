@@ -34,6 +34,68 @@ def test_fuzzy_duplicates(spark):
     assert [(r["r1"], r["r2"]) for r in issues.fuzzy_pairs(ds, ["name"], 0.8).collect()] == [(1, 2)]
 
 
+def _shuffled(spark, run):
+    """Rows that stages begun in ``run`` wrote to shuffles."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for stage, n in stages().items() if stage not in before)
+
+
+def _apart(x: str, y: str) -> int:
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x):
+        last, row = row, [i + 1]
+        for j, b in enumerate(y):
+            row.append(min(last[j] + (a != b), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_blocked_pairs_of_alike_signatures(spark):
+    """Every three characters are frequent; rows of all pairs are shuffled nowhere,
+    though the tables are joined as large ones are."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(20, 22))) for _ in range(1400)}, key=lambda w: rng.random())
+    for w in words[:60]:
+        at = rng.randrange(len(w))
+        words += [w[:at] + w[at + 1 :], w[:at] + "c" + w[at + 1 :], w[:at] + w[at] + w[at:]]
+    words = list(dict.fromkeys(words))
+    ds = make(spark, [(w,) for w in words], "w string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, rows = _shuffled(spark, lambda: {(r["r1"], r["r2"], round(r["similarity"], 6)) for r in issues.blocked_pairs(ds, ["w"], 0.95).collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    near = {}  # an edit leaves one half as it was
+    for i, w in enumerate(words):
+        for half in {(0, w[:10]), (1, w[-10:])}:
+            near.setdefault(half, []).append(i)
+    pairs = {(i, j) for group in near.values() for i in group for j in group if i < j and abs(len(words[i]) - len(words[j])) < 2}
+    want = {(i + 1, j + 1, round(1 - 1 / max(len(words[i]), len(words[j])), 6)) for i, j in pairs if _apart(words[i], words[j]) == 1 and max(len(words[i]), len(words[j])) >= 20}
+    assert len(want) > 150 and found == want
+    assert rows < 40 * len(words)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.95])
+def test_blocked_pairs_of_short_and_repeated_texts(spark, similarity):
+    """One edit and more, runs of a character, shared and frequent parts."""
+    rng = random.Random(9)
+    words = list(dict.fromkeys(["a", "b", "ab", "aa", "aaa", "aab", "baa", "\u00e9a", *("".join(rng.choice("aab") for _ in range(rng.randint(1, 24))) for _ in range(130))]))
+    words += [w[:-1] for w in words if len(w) > 22]
+    words = list(dict.fromkeys(words))
+    ds = make(spark, [(w,) for w in words], "w string")
+    want = {(i + 1, j + 1) for i, x in enumerate(words) for j, y in enumerate(words) if i < j and _apart(x, y) <= int(max(len(x), len(y)) * (1 - similarity) + 1e-9)}
+    got = [(r["r1"], r["r2"]) for r in issues.blocked_pairs(ds, ["w"], similarity).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("similarity", [0.7, 0.85])
 def test_blocked_pairs_lose_none(spark, similarity):
     rng = random.Random(3)
